@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from callmeter.llm import bpe_codec as _op8
 from callmeter.llm import exact_dedup as _op7
 
-QUERIES = {"op7_exact_dedup": _op7.op7_exact_dedup}
+QUERIES = {"op7_exact_dedup": _op7.op7_exact_dedup, "op8_bpe_codec": _op8.op8_bpe_codec}
 SQL = {"op7_exact_dedup": _op7.OP7_SQL}
