@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from callmeter.llm import bpe_codec as _op8
 from callmeter.llm import exact_dedup as _op7
+from callmeter.llm import lang_id as _op1
 from callmeter.llm import token_files as _op6
 
 QUERIES = {
+    "op1_language_id": _op1.op1_language_id,
     "op6_token_files": _op6.op6_token_files,
     "op7_exact_dedup": _op7.op7_exact_dedup,
     "op8_bpe_codec": _op8.op8_bpe_codec,
