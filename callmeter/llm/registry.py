@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from callmeter.llm import bpe_codec as _op8
+from callmeter.llm import decontaminate as _op9
 from callmeter.llm import exact_dedup as _op7
 from callmeter.llm import lang_id as _op1
 from callmeter.llm import lm_score as _op3
@@ -14,5 +15,6 @@ QUERIES = {
     "op6_token_files": _op6.op6_token_files,
     "op7_exact_dedup": _op7.op7_exact_dedup,
     "op8_bpe_codec": _op8.op8_bpe_codec,
+    "op9_decontaminate": _op9.op9_decontaminate,
 }
 SQL = {"op7_exact_dedup": _op7.OP7_SQL}
