@@ -55,25 +55,28 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string, data binary")
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: what encode() and then decode() give, without moving the ids."""
+def digests(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: what encode() and then decode() give; with keep_ids also ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = bpe.from_ranks(path)
         decimal = [str(i).encode() for i in range(len(enc.token_bytes))]
         for batch in batches:
             n, of_ids, of_text = [], [], []
-            for x in enc.encode(_texts(batch)):
+            encoded = enc.encode(_texts(batch))
+            for x in encoded:
                 ids = enc.ids(x).tolist()
                 n.append(len(ids))
                 of_ids.append(hashlib.sha256(b",".join(map(decimal.__getitem__, ids))).hexdigest())
                 of_text.append(hashlib.sha256(b"".join(map(enc.token_bytes.__getitem__, ids))).hexdigest())
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": of_ids, "decoded_sha256": of_text}
-            )
+            out = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_text, pa.string())}
+            if keep_ids:
+                out["ids"] = pa.array([enc.ids(x).astype(np.int32) for x in encoded], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_pydict(out)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    more = ", ids array<int>" if keep_ids else ""
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
 
 
 def op8_bpe_codec(spark, sf_dir: str) -> DataFrame:
