@@ -8,10 +8,12 @@ from callmeter.llm import exact_dedup as _op7
 from callmeter.llm import jaccard_join as _op5
 from callmeter.llm import lang_id as _op1
 from callmeter.llm import lm_score as _op3
+from callmeter.llm import pii as _op2
 from callmeter.llm import token_files as _op6
 
 QUERIES = {
     "op1_language_id": _op1.op1_language_id,
+    "op2_pii": _op2.op2_pii,
     "op3_lm_score": _op3.op3_lm_score,
     "op5_jaccard_join": _op5.op5_jaccard_join,
     "op6_token_files": _op6.op6_token_files,
