@@ -7,6 +7,7 @@ from callmeter.llm import decontaminate as _op9
 from callmeter.llm import exact_dedup as _op7
 from callmeter.llm import jaccard_join as _op5
 from callmeter.llm import lang_id as _op1
+from callmeter.llm import licenses as _op10
 from callmeter.llm import lm_score as _op3
 from callmeter.llm import pii as _op2
 from callmeter.llm import token_files as _op6
@@ -20,5 +21,6 @@ QUERIES = {
     "op7_exact_dedup": _op7.op7_exact_dedup,
     "op8_bpe_codec": _op8.op8_bpe_codec,
     "op9_decontaminate": _op9.op9_decontaminate,
+    "op10_licenses": _op10.op10_licenses,
 }
 SQL = {"op7_exact_dedup": _op7.OP7_SQL}
