@@ -11,11 +11,13 @@ from callmeter.llm import licenses as _op10
 from callmeter.llm import lm_score as _op3
 from callmeter.llm import pii as _op2
 from callmeter.llm import token_files as _op6
+from callmeter.llm import toxicity as _op4
 
 QUERIES = {
     "op1_language_id": _op1.op1_language_id,
     "op2_pii": _op2.op2_pii,
     "op3_lm_score": _op3.op3_lm_score,
+    "op4_toxicity": _op4.op4_toxicity,
     "op5_jaccard_join": _op5.op5_jaccard_join,
     "op6_token_files": _op6.op6_token_files,
     "op7_exact_dedup": _op7.op7_exact_dedup,
