@@ -1,0 +1,94 @@
+"""Prices of models and costs of calls, in exact decimals."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from callmeter.functions import fixed
+from callmeter.functions.scalar import MONEY, canonical_model
+
+PRICE = "key string, input decimal(18,12), output decimal(18,12), cache_write decimal(18,12), cache_read decimal(18,12), web_search decimal(18,12), fast decimal(9,3)"
+
+
+def price_table(spark: SparkSession, prices: dict[str, tuple]) -> DataFrame:
+    rows = [(k, *map(str, v[:4]), fixed.WEB_SEARCH_PRICE, str(v[4])) for k, v in prices.items()]
+    text = spark.createDataFrame(rows, "key string, input string, output string, cache_write string, cache_read string, web_search string, fast string")
+    kinds = dict(x.strip().split(" ", 1) for x in PRICE.split(", "))
+    return text.select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
+
+
+def fallback_prices(spark: SparkSession) -> DataFrame:
+    return price_table(spark, fixed.FALLBACK_PRICES)
+
+
+def scan_prices(spark: SparkSession, path: str) -> DataFrame:
+    """Prices from a JSON map of models. Entries without an input or output price, or with both 0, are left out.
+
+    Missing prices follow from the input price (cache write 1.25 times, cache read 0.1 times); a name after a provider/
+    prefix is an alias unless it has an entry of its own.
+    """
+    one = "struct<input_cost_per_token:decimal(18,12),output_cost_per_token:decimal(18,12),cache_creation_input_token_cost:decimal(18,12),cache_read_input_token_cost:decimal(18,12),provider_specific_entry:struct<fast:decimal(9,3)>>"
+    text = spark.read.text(path, wholetext=True)
+    rows = text.select(F.explode(F.from_json("value", f"map<string,{one}>")).alias("key", "p"))
+    d = lambda c: c.cast("decimal(18,12)")
+    priced = rows.filter("p.input_cost_per_token IS NOT NULL AND p.output_cost_per_token IS NOT NULL AND NOT (p.input_cost_per_token = 0 AND p.output_cost_per_token = 0)").select(
+        "key", F.col("p.input_cost_per_token").alias("input"), F.col("p.output_cost_per_token").alias("output"),
+        d(F.coalesce("p.cache_creation_input_token_cost", F.col("p.input_cost_per_token") * F.lit("1.25").cast("decimal(4,2)"))).alias("cache_write"),
+        d(F.coalesce("p.cache_read_input_token_cost", F.col("p.input_cost_per_token") * F.lit("0.1").cast("decimal(4,2)"))).alias("cache_read"),
+        F.lit(fixed.WEB_SEARCH_PRICE).cast("decimal(18,12)").alias("web_search"), F.coalesce("p.provider_specific_entry.fast", F.lit(1).cast("decimal(9,3)")).alias("fast"),
+    )
+    alias = priced.filter(F.col("key").contains("/")).withColumn("full", F.col("key")).withColumn("key", F.substring_index("key", "/", -1))
+    both = priced.withColumn("full", F.lit("")).unionByName(alias)
+    best = both.groupBy("key").agg(F.min_by(F.struct(*[c for c in priced.columns if c != "key"]), "full").alias("p"))
+    return best.select("key", "p.*")
+
+
+def scan_rates(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("code string, rate double, symbol string").json(path)
+
+
+def resolve_price(models: DataFrame, prices: DataFrame, fallback: DataFrame) -> DataFrame:
+    """model and its price row for the distinct models of `models`; unmatched models are left out.
+
+    In order: exact in prices, exact in fallback, a fallback key with a hyphen after it as prefix, prices by prefix
+    either way, a fallback key as prefix. Of several keys the longest, then the first by name. Only distinct models meet
+    the price tables, which have a row for each model that is sold.
+    """
+    names = models.select("model", canonical_model(F.col("model")).alias("name")).distinct()
+    table = prices.withColumn("own", F.lit(True)).unionByName(fallback.withColumn("own", F.lit(False)))
+    exact, key_of, of_key = F.col("name") == F.col("key"), F.col("name").startswith(F.col("key")), F.col("key").startswith(F.col("name"))
+    tier = (
+        F.when(F.col("own") & exact, 1).when(~F.col("own") & exact, 2).when(~F.col("own") & F.col("name").startswith(F.concat("key", F.lit("-"))), 3)
+        .when(F.col("own") & (key_of | of_key) & (F.col("name") != ""), 4).when(~F.col("own") & key_of, 5)
+    )
+    met = names.join(F.broadcast(table), (key_of | of_key) & F.col("name").isNotNull()).withColumn("tier", tier).filter("tier IS NOT NULL")
+    best = F.min_by(F.struct(*table.columns), F.struct("tier", -F.length("key"), "key")).alias("p")
+    return met.groupBy("model").agg(best).select("model", "p.key", "p.input", "p.output", "p.cache_write", "p.cache_read", "p.web_search", "p.fast")
+
+
+def call_cost(input_tokens: Column, output_tokens: Column, cache_write: Column, cache_read: Column, web: Column, speed: Column) -> Column:
+    """Cost by the price columns of the row; 0 where the model has none."""
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("decimal(18,0)")
+    total = n(input_tokens) * F.col("input") + n(output_tokens) * F.col("output") + n(cache_write) * F.col("cache_write") + n(cache_read) * F.col("cache_read") + n(web) * F.col("web_search")
+    times = F.when(speed == "fast", F.col("fast")).otherwise(F.lit(1).cast("decimal(9,3)"))
+    return F.coalesce((total.cast(MONEY) * times).cast(MONEY), F.lit(0).cast(MONEY))
+
+
+def with_cost(calls: DataFrame, prices: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
+    """Adds cost_usd by provider: codex and opencode bill reasoning as output (codex's input_tokens are without cached ones).
+
+    opencode keeps the logged cost (cost_logged, if there is such a column) where the computed one is 0.
+    """
+    fallback = prices.limit(0) if fallback is None else fallback
+    table = resolve_price(calls.select("model"), prices, fallback)
+    names = [c for c in table.columns if c != "model"]
+    c = lambda x: F.coalesce(F.col(x), F.lit(0)) if x in calls.columns else F.lit(0)
+    codex, opencode = F.col("provider") == "codex", F.col("provider") == "opencode"
+    rows = calls.join(F.broadcast(table), "model", "left")
+    out = F.when(codex | opencode, c("output_tokens") + c("reasoning_tokens")).otherwise(c("output_tokens"))
+    cost = call_cost(c("input_tokens"), out, c("cache_write_tokens"), c("cache_read_tokens"), c("web_search_requests"), F.col("speed"))
+    if "cost_logged" in calls.columns:
+        logged = F.coalesce(F.col("cost_logged"), F.lit(0)).cast(MONEY)
+        cost = F.when(opencode & (cost == 0) & (logged > 0), logged).otherwise(cost)
+    return rows.withColumn("cost_usd", cost).drop(*names)
