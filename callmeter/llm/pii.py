@@ -103,19 +103,22 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"entity": pa.array(e, pa.string()), "term": pa.array(t, pa.string()), "context": pa.array(c, pa.int64()), "doc": pa.array(d, pa.int64())})
 
     near = docs.select("text").mapInArrow(run, "entity string, term string, context long, doc long")
-    near = near.withColumn("doc", F.struct(F.spark_partition_id(), "doc"))
-    found = near.groupBy("entity", "term", "context").agg(F.count_distinct("doc").alias("n"))
-    pairs = cut(found.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("contexts")))
-    strong = pairs.filter(F.col("contexts") >= SUPPORT)
-    if strong.isEmpty():
-        return strong.select("term", F.lit(1.0).alias("disclosure"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,})"), F.lit(1)))).alias("term"))
-    have = words.join(strong.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("have"))
-    entities = strong.select("entity").distinct().join(found, "entity").groupBy("entity", "context").agg(F.max("n").alias("n")).groupBy("entity").agg(F.sum("n").alias("of"))
+    near = cut(near.withColumn("doc", F.struct(F.spark_partition_id().alias("p"), "doc")))
     docs_total = docs.count()
+    entities = near.groupBy("entity").agg(F.count_distinct("doc").alias("of"))
     content = -F.log2(F.least(F.col("of") / docs_total, F.lit(1 - 1e-12)))
-    reveal = F.lit(1.0) + F.log2(F.least(F.col("both") / F.col("have"), F.lit(1.0))) / content
-    scored = strong.join(have, "term").join(entities, "entity").groupBy("term").agg(F.max(reveal).alias("disclosure"))
+    reveal = lambda of_term: F.lit(1.0) + F.log2(F.least(F.col("both") / of_term, F.lit(1.0))) / content
+    pairs = near.groupBy("entity", "term").agg(F.count_distinct("doc").alias("both"), F.count_distinct("context").alias("contexts")).filter(F.col("contexts") >= SUPPORT)
+    # a term is in no fewer documents than it is near some entity in: what fails with that number fails with the true one
+    least = near.groupBy("term").agg(F.count_distinct("doc").alias("near"))
+    strong = cut(pairs.join(entities, "entity").join(least, "term").filter(reveal(F.col("near")) >= GENERALISE).drop("near"))
+    candidates = strong.select("term").distinct()
+    few = candidates.limit(TERMS + 1).count()
+    if not few:
+        return strong.select("term", F.lit(1.0).alias("disclosure"))
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,})"), F.lit(1)))).alias("term"))
+    have = words.join(F.broadcast(candidates) if few <= TERMS else candidates, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("have"))
+    scored = strong.join(have, "term").groupBy("term").agg(F.max(reveal(F.col("have"))).alias("disclosure"))
     return cut(scored.filter(F.col("disclosure") >= GENERALISE))
 
 
