@@ -108,9 +108,10 @@ def fit(unknown_lines: list[str], seed: int = 7) -> Model:
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    few = docs.filter("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text")
-    few = few.orderBy(F.crc32(F.col("doc_id").cast("string")), "doc_id", "text").limit(sample_docs)
-    lines = [x for r in few.collect() for x in r["text"].split("\n") if x.strip()]
+    rows = docs.filter("text IS NOT NULL AND doc_id IS NOT NULL")
+    ids = rows.select("doc_id", F.crc32(F.col("doc_id").cast("string")).alias("c")).orderBy("c", "doc_id").limit(sample_docs)
+    few = rows.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").orderBy("doc_id", "text").collect()
+    lines = [x for r in few for x in r["text"].split("\n") if x.strip()]
     return fit(lines[:5000])
 
 
