@@ -18,12 +18,12 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import regex
-from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+from tokenizers import Tokenizer, models, pre_tokenizers
 
-#: Entries after which a cache of a worker starts anew.
-CACHE = 600_000
+#: Entries after which the cache of a worker starts anew.
+CACHE = 1_000_000
 #: Texts that are looked up together.
-TOGETHER = 512
+TOGETHER = 4096
 #: Marks that the pattern cuts from the word before them.
 MARKS = frozenset(".,;:!?")
 
@@ -36,13 +36,15 @@ def _byte_chars() -> list[str]:
 
 
 BYTE_CHARS = _byte_chars()
-_TO_CHARS = {b: ord(c) for b, c in enumerate(BYTE_CHARS)}
+#: No UTF-8 has this byte; between pieces it stands for a newline.
+_BETWEEN = b"\xff"
+_TO_CHARS = {b: ord(c) for b, c in enumerate(BYTE_CHARS)} | {0xFF: 0x0A}
 _TO_BYTES = {c: b for b, c in enumerate(BYTE_CHARS)}
 _SPACE_AFTER_WHITE = re.compile(r"\s ")
 
 
 def as_chars(data: bytes) -> str:
-    return data.decode("latin-1").translate(_TO_CHARS)
+    return "".join(BYTE_CHARS[b] for b in data)
 
 
 def as_bytes(token: str) -> bytes:
@@ -57,18 +59,24 @@ class Encoder:
         self.token_bytes = token_bytes
         self.token_chars = [as_chars(x) for x in token_bytes]
         self.dtype = np.dtype("<u2" if len(token_bytes) <= 1 << 16 else "<u4")
+        self.token_size = np.array([len(x) for x in token_bytes], np.int64)
         self.merger = Tokenizer(model)
-        self.merger.pre_tokenizer = pre_tokenizers.Split(Regex("\n"), "removed")  # no byte is written as a newline
-        self.pieces: dict[str, bytes] = {}
+        self.merger.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")  # no byte is written as a newline
         self.parts: dict[str, bytes] = {}
 
-    def _merge(self, pieces: list[str]) -> None:
+    def _merge(self, pieces: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
         for k in range(0, len(pieces), 20_000):
             some = pieces[k : k + 20_000]
-            got = self.merger.encode("\n".join(as_chars(x.encode("utf-8", "replace")) for x in some), add_special_tokens=False)
-            ids, of = np.array(got.ids, self.dtype), np.array(got.word_ids, np.int64)
-            ends = np.searchsorted(of, np.arange(len(some) + 1))
-            self.pieces.update((x, ids[ends[i] : ends[i + 1]].tobytes()) for i, x in enumerate(some))
+            data = [x.encode("utf-8", "replace") for x in some]
+            joined = _BETWEEN.join(data).decode("latin-1").translate(_TO_CHARS)
+            ids = np.array(self.merger.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.dtype)
+            # a piece ends with the token that brings the bytes to its length and those before it
+            ends = np.searchsorted(np.cumsum(self.token_size[ids]), np.cumsum([len(x) for x in data]))
+            ends = ((ends + 1) * self.dtype.itemsize).tolist()
+            raw = ids.tobytes()
+            out.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends)], strict=True))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -79,8 +87,6 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.parts) > CACHE:
             self.parts = {}
-        if len(self.pieces) > CACHE:
-            self.pieces = {}
         cut: list[tuple[list[str], list[str]]] = []
         heads: set[str] = set()
         tails: set[str] = set()
@@ -96,8 +102,7 @@ class Encoder:
         new = [x for x in tails if x not in self.parts]
         split = [self._after_space(x) for x in new]
         heads.update(*split)
-        self._merge([x for x in heads if x not in self.pieces])
-        piece = self.pieces.__getitem__
+        piece = self._merge(list(heads)).__getitem__
         self.parts.update(zip(new, [piece(y[0]) if len(y) == 1 else b"".join(map(piece, y)) for y in split], strict=True))
         return [b"".join(map(piece, h)) + b"".join(map(self.parts.__getitem__, t)) for h, t in cut]
 

@@ -19,8 +19,8 @@ HEAD = struct.Struct("<4sIQIIIII")  # magic, crc32 of the table, symbols, lanes,
 MAGIC = b"rAN1"
 #: States stay within [LOW, LOW << 32).
 LOW = np.uint64(1 << 31)
-SECTION = 256
-MAX_LANES = 1024
+SECTION = 128
+MAX_LANES = 2048
 _32 = np.uint64(32)
 
 
