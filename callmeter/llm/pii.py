@@ -113,11 +113,10 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     least = near.groupBy("term").agg(F.count_distinct("doc").alias("near"))
     strong = cut(pairs.join(entities, "entity").join(least, "term").filter(reveal(F.col("near")) >= GENERALISE).drop("near"))
     candidates = strong.select("term").distinct()
-    few = candidates.limit(TERMS + 1).count()
-    if not few:
+    if candidates.isEmpty():
         return strong.select("term", F.lit(1.0).alias("disclosure"))
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,})"), F.lit(1)))).alias("term"))
-    have = words.join(F.broadcast(candidates) if few <= TERMS else candidates, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("have"))
+    have = words.groupBy("term").agg(F.count(F.lit(1)).alias("have")).join(candidates, "term", "left_semi")
     scored = strong.join(have, "term").groupBy("term").agg(F.max(reveal(F.col("have"))).alias("disclosure"))
     return cut(scored.filter(F.col("disclosure") >= GENERALISE))
 
