@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callmeter.functions.scalar import cache_hit_pct, local_day, mcp_server, mcp_tools, one_shot_pct, short_model
 from callmeter.operators.ordered import first_last_ts
 
 TOKENS = ["input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens"]
-_COST, _CALLS = F.sum("cost_usd").alias("cost_usd"), F.count(F.lit(1)).alias("calls")
+
+
+def _cost() -> Column:
+    return F.sum("cost_usd").alias("cost_usd")
+
+
+def _calls() -> Column:
+    return F.count(F.lit(1)).alias("calls")
 
 
 def with_day(calls: DataFrame) -> DataFrame:
@@ -35,35 +42,35 @@ def in_instants(calls: DataFrame, start: str, end: str) -> DataFrame:
 
 def sessions(calls: DataFrame) -> DataFrame:
     low, high = first_last_ts(F.col("ts_raw"))
-    return calls.groupBy("source_path", "session_id", "project").agg(_COST, _CALLS, *[F.sum(c).alias(c) for c in TOKENS], low.alias("first_ts"), high.alias("last_ts"))
+    return calls.groupBy("source_path", "session_id", "project").agg(_cost(), _calls(), *[F.sum(c).alias(c) for c in TOKENS], low.alias("first_ts"), high.alias("last_ts"))
 
 
 def session_days(calls: DataFrame) -> DataFrame:
-    return calls.filter(F.length("ts_raw") >= 10).groupBy("source_path", "session_id", "day").agg(_COST, _CALLS, *[F.sum(c).alias(c) for c in TOKENS])
+    return calls.filter(F.length("ts_raw") >= 10).groupBy("source_path", "session_id", "day").agg(_cost(), _calls(), *[F.sum(c).alias(c) for c in TOKENS])
 
 
 def by_model(calls: DataFrame) -> DataFrame:
     more = ["cached_input_tokens", "reasoning_tokens", "web_search_requests"]
-    rows = calls.groupBy(short_model(F.col("model")).alias("model_name")).agg(_COST, _CALLS, *[F.sum(c).alias(c) for c in TOKENS + [c for c in more if c in calls.columns]])
+    rows = calls.groupBy(short_model(F.col("model")).alias("model_name")).agg(_cost(), _calls(), *[F.sum(c).alias(c) for c in TOKENS + [c for c in more if c in calls.columns]])
     return rows.withColumn("cache_hit_pct", cache_hit_pct(F.col("cache_read_tokens"), F.col("input_tokens"), F.col("cache_write_tokens")))
 
 
 def by_tool(calls: DataFrame) -> DataFrame:
-    return calls.select(F.explode("tools").alias("tool")).filter(~F.col("tool").startswith("mcp__") & ~F.col("tool").startswith("lang:")).groupBy("tool").agg(_CALLS)
+    return calls.select(F.explode("tools").alias("tool")).filter(~F.col("tool").startswith("mcp__") & ~F.col("tool").startswith("lang:")).groupBy("tool").agg(_calls())
 
 
 def by_mcp_server(calls: DataFrame) -> DataFrame:
-    return calls.select(F.explode(F.transform(mcp_tools(F.col("tools")), mcp_server)).alias("server")).groupBy("server").agg(_CALLS)
+    return calls.select(F.explode(F.transform(mcp_tools(F.col("tools")), mcp_server)).alias("server")).groupBy("server").agg(_calls())
 
 
 def by_shell(calls: DataFrame) -> DataFrame:
-    return calls.select(F.explode("bash_commands").alias("command")).groupBy("command").agg(_CALLS)
+    return calls.select(F.explode("bash_commands").alias("command")).groupBy("command").agg(_calls())
 
 
 def by_category(turns: DataFrame) -> DataFrame:
     edit = F.col("has_edits")
     rows = turns.groupBy("category").agg(
-        F.count(F.lit(1)).alias("turns"), _COST, F.count_if(edit).alias("edit_turns"), F.sum(F.when(edit, F.col("retries")).otherwise(0)).cast("long").alias("retries"),
+        F.count(F.lit(1)).alias("turns"), _cost(), F.count_if(edit).alias("edit_turns"), F.sum(F.when(edit, F.col("retries")).otherwise(0)).cast("long").alias("retries"),
         F.count_if(edit & (F.col("retries") == 0)).alias("one_shot"),
     )
     return rows.withColumn("one_shot_pct", one_shot_pct(F.col("one_shot"), F.col("edit_turns")))
@@ -77,7 +84,7 @@ def by_project(calls: DataFrame) -> DataFrame:
 
 
 def by_day(calls: DataFrame) -> DataFrame:
-    return calls.groupBy("day").agg(_COST, _CALLS, *[F.sum(c).alias(c) for c in TOKENS])
+    return calls.groupBy("day").agg(_cost(), _calls(), *[F.sum(c).alias(c) for c in TOKENS])
 
 
 def overview(calls: DataFrame) -> DataFrame:
@@ -96,12 +103,12 @@ def status(calls: DataFrame, as_of: dt.date) -> DataFrame:
 
 
 def file_day_costs(calls: DataFrame) -> DataFrame:
-    return calls.groupBy("source_path", F.substring("ts_raw", 1, 10).alias("utc_day")).agg(_COST, _CALLS)
+    return calls.groupBy("source_path", F.substring("ts_raw", 1, 10).alias("utc_day")).agg(_cost(), _calls())
 
 
 def seconds(calls: DataFrame) -> DataFrame:
     """The stored rollup: cost and calls of each second of a session."""
-    return calls.groupBy("session_id", F.date_trunc("second", "ts").alias("second")).agg(_COST, _CALLS)
+    return calls.groupBy("session_id", F.date_trunc("second", "ts").alias("second")).agg(_cost(), _calls())
 
 
 def merge(*rollups: DataFrame) -> DataFrame:

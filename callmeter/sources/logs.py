@@ -249,7 +249,7 @@ def union_providers(calls: list[DataFrame], provider: str = "all") -> DataFrame:
 def sources(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """source_path, mtime, size of the files that are read: no line is parsed."""
     m = spark.read.format("binaryFile").load(paths)
-    return m.select(F.col("path").alias("source_path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+    return m.select(F.col("_metadata.file_path").alias("source_path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
 
 
 def latest_activity(found: DataFrame) -> DataFrame:

@@ -1,0 +1 @@
+"""Structured Streaming over immutable chunk files of logs."""

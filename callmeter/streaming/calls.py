@@ -1,0 +1,94 @@
+"""Calls from a stream of log chunks, each counted once, and running totals by day.
+
+Chunks are files that do not change once they are there: a row has source_path, line_no and value, so that a log's
+lines keep their place over chunks. What a log carries from line to line (the user's text that waits for the next call)
+is the state of its source, dropped when the source is quiet for `idle`.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StringType, StructField, StructType
+
+LINES = "source_path string, line_no long, value string"
+CALLS = "source_path string, line_no long, model string, input_tokens long, output_tokens long, ts timestamp, dedup_key string, user_message string"
+
+
+def stream_lines(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
+    return spark.readStream.schema(LINES).option("maxFilesPerTrigger", files_per_trigger).json(path)
+
+
+def _number(x: object) -> int:
+    return x if isinstance(x, int) and not isinstance(x, bool) else 0
+
+
+def _read(value: str) -> tuple[str, dict] | None:
+    """Kind and message of a line; None where it is neither a user's nor an assistant's."""
+    try:
+        entry = json.loads(value)
+    except ValueError:
+        return None
+    message = entry.get("message") if isinstance(entry, dict) else None
+    return (entry["type"], entry) if isinstance(message, dict) and entry.get("type") in ("user", "assistant") else None
+
+
+def _text(message: dict) -> str:
+    content = message.get("content")
+    if isinstance(content, list):
+        return " ".join(b["text"] for b in content if isinstance(b, dict) and b.get("type") == "text" and isinstance(b.get("text"), str))
+    return content if isinstance(content, str) else ""
+
+
+def _calls(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
+    said = state.get[0] if state.exists else ""
+    rows = []
+    for line in pd.concat(list(chunks)).sort_values("line_no").itertuples():
+        found = _read(line.value)
+        if found is None:
+            continue
+        kind, entry = found
+        message = entry["message"]
+        if kind == "user":
+            said = _text(message) if _text(message).strip() else said
+            continue
+        usage = message.get("usage")
+        if isinstance(usage, dict) and isinstance(message.get("model"), str):
+            ts = pd.to_datetime(entry.get("timestamp"), utc=True, errors="coerce")
+            rows.append((key[0], line.line_no, message["model"], _number(usage.get("input_tokens")), _number(usage.get("output_tokens")), None if pd.isna(ts) else ts.tz_localize(None), message.get("id") or f"{key[0]}:{line.line_no}", said))
+    state.update((said,))
+    state.setTimeoutDuration(24 * 3600 * 1000)
+    yield pd.DataFrame(rows, columns=[c.split()[0] for c in CALLS.split(", ")])
+
+
+def stream_calls(lines: DataFrame) -> DataFrame:
+    """Calls of new lines; a source's pending user text survives from one batch to the next."""
+    kept = StructType([StructField("said", StringType())])
+    out = lines.groupBy("source_path").applyInPandasWithState(_calls, CALLS, kept, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return out.withColumn("user_message", F.coalesce("user_message", F.lit("")))  # a projection: a shuffle cannot take the batches as they are
+
+
+def stream_dedup(calls: DataFrame, late: str = "2 days") -> DataFrame:
+    """First call of a key; keys older than the watermark are forgotten, which bounds the state."""
+    return calls.withWatermark("ts", late).dropDuplicatesWithinWatermark(["dedup_key"])
+
+
+def stream_daily(calls: DataFrame, late: str = "2 days") -> DataFrame:
+    """Running totals of each local day, for output mode update or complete."""
+    rows = calls if late is None else calls.withWatermark("ts", late)
+    totals = rows.groupBy(F.window("ts", "1 day")).agg(F.count(F.lit(1)).alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+    return totals.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "calls", "input_tokens", "output_tokens")
+
+
+def poll_refresh(df: DataFrame, on_batch, checkpoint: str, seconds: int = 5, once: bool = False):
+    """Starts a query that hands each batch to on_batch; every `seconds` (1 at least), or for what is there now."""
+    writer = df.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{max(1, seconds)} seconds")).start()
