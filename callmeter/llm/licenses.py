@@ -12,6 +12,7 @@ as the unknown class. Scoring happens row by row in the scan: nothing is explode
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 from typing import NamedTuple
 
@@ -37,10 +38,14 @@ TEMPLATES = {
 }
 #: Documents whose lines stand for the unknown class in training: those with the smallest crc32 of the id.
 SAMPLE_DOCS = 200
+#: Distinct lines of those documents that training takes: those with the smallest crc32.
+SAMPLE_LINES = 5000
 #: Share of a template's bigrams that confirms its family; probability that a family needs.
 CONFIRM, CERTAIN = 0.6, 0.5
-#: A bigram in more than this share of the unknown lines is no feature.
+#: A bigram in two of the unknown lines and in this share of them is no feature.
 COMMON = 0.005
+#: A line with this share of a template's bigrams may be a notice and is no unknown line.
+RESEMBLES = 0.5
 _SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -57,6 +62,11 @@ def bigrams(line: str) -> list[str]:
     return [f"{a} {b}" for a, b in zip(words, words[1:])]
 
 
+def resembles(line: str) -> bool:
+    own = set(bigrams(line))
+    return any(len(own & t) >= RESEMBLES * len(t) for t in (set(bigrams(t)) for ts in TEMPLATES.values() for t in ts))
+
+
 def _features(lines: list[str], vocabulary: list[str]) -> np.ndarray:
     place = {g: i for i, g in enumerate(vocabulary)}
     out = np.zeros((len(lines), len(vocabulary)))
@@ -72,10 +82,15 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def fit(unknown_lines: list[str], seed: int = 7) -> Model:
-    """Logistic regression on variations of the templates and on lines of the unknown class."""
+    """Logistic regression on variations of the templates and on lines of the unknown class.
+
+    The lines are raw ones of the corpus. Those that may be notices are left out and a repeated line counts once, so that
+    how often a notice occurs does not decide whether its bigrams are features.
+    """
     families = [*sorted(TEMPLATES), UNKNOWN]
+    unknown_lines = [x for x in dict.fromkeys(unknown_lines) if not resembles(x)]
     common = Counter(g for x in unknown_lines for g in set(bigrams(x)))
-    vocabulary = sorted({g for ts in TEMPLATES.values() for t in ts for g in bigrams(t) if common[g] < COMMON * max(len(unknown_lines), 1)})
+    vocabulary = sorted({g for ts in TEMPLATES.values() for t in ts for g in bigrams(t) if common[g] < max(2, COMMON * len(unknown_lines))})
     rng = np.random.default_rng(seed)
     plain = [x for x in unknown_lines if len(set(bigrams(x)) & set(vocabulary)) < 2]
     filler = np.array((" ".join(plain).split() or ["of", "the"])[:20_000], dtype=object)
@@ -111,8 +126,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     rows = docs.filter("text IS NOT NULL AND doc_id IS NOT NULL")
     ids = rows.select("doc_id", F.crc32(F.col("doc_id").cast("string")).alias("c")).orderBy("c", "doc_id").limit(sample_docs)
     few = rows.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").orderBy("doc_id", "text").collect()
-    lines = [x for r in few for x in r["text"].split("\n") if x.strip()]
-    return fit(lines[:5000])
+    lines = {x for r in few for x in r["text"].split("\n") if x.strip()}
+    return fit(sorted(lines, key=lambda x: (zlib.crc32(x.encode("utf-8", "replace")), x))[:SAMPLE_LINES])
 
 
 def _grams(line: Column) -> Column:

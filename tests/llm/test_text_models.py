@@ -148,3 +148,15 @@ def test_licenses(spark, docs):
     prob = licenses._softmax((x @ model.weights + model.bias) / model.temperature)[0]
     native = licenses.scan(spark.createDataFrame([(1, "released under the mit license")], "doc_id long, text string"), model).first()["licenses"][0]["probability"]
     assert native == pytest.approx(prob.max())
+
+
+def test_frequent_notices_stay_features(spark):
+    footers = ["Released under the MIT License.", "Licensed under CC BY-NC 4.0."]
+    plain = [prose("en", 12, i) for i in range(300)]
+    want = {g for f in footers for g in licenses.bigrams(f)}
+    for lines in (plain + footers * 150, plain[:100] + footers, plain + [f"{footers[k % 2]} Copy {k}" for k in range(150)]):
+        assert want <= set(licenses.fit(lines).vocabulary)
+    rows = [(i, prose("en", 12, i) + "\n" + prose("en", 9, -i) + "\n" + footers[i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: [x["family"] for x in r["licenses"] if x["confirmed"]] for r in licenses.scan(df, licenses.train(df)).collect()}
+    assert got == {i: [["MIT", "CC-BY-NC"][i % 2]] for i in range(60)}
