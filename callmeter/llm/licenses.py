@@ -1,9 +1,14 @@
 """Licence notices: a trained paragraph classifier, in DataFrame functions alone.
 
-A paragraph is a line of a document. Its features are its word bigrams; the weights of a multinomial logistic regression
-over licence families are sparse: only bigrams of the known notices have any. A paragraph without such a bigram has the
-unknown class for certain, which is why it is not scored. For the others, the probabilities are calibrated by a
-temperature fitted on held-out paragraphs, and a family is confirmed when the paragraph holds enough of a template of it.
+A paragraph is a run of lines between lines without a letter or digit, so comment marks alone end one. Its features are
+its word bigrams, also those over the end of a line; the weights of a multinomial logistic regression over licence
+families are sparse: only bigrams of the known notices have any. Lines without such a bigram have the unknown class for
+certain, which is why they are not scored. Each other line is scored by itself, for adjacent notices of one line. Those
+of a paragraph that confirm no family so are scored together where at most one line lies between them; when a family is
+confirmed, what is left without the bigrams of its templates is scored again, for wrapped notices of several families.
+
+The probabilities are calibrated by a temperature fitted on held-out lines, and a family is confirmed when the lines
+hold enough of a template of it.
 
 Training is small and happens on the driver: variations of the templates, and lines of at most `SAMPLE_DOCS` documents
 as the unknown class. Scoring happens row by row in the scan: nothing is exploded or shuffled.
@@ -23,7 +28,7 @@ from pyspark.sql import functions as F
 UNKNOWN = "unknown"
 #: Usual notices of licence families.
 TEMPLATES = {
-    "AGPL": ["licensed under the gnu affero general public license version 3"],
+    "AGPL": ["licensed under the gnu affero general public license version 3", "you can redistribute it and or modify it under the terms of the gnu affero general public license"],
     "Apache-2.0": ["licensed under the apache license version 2 0", "you may not use this file except in compliance with the license"],
     "BSD": ["released under the bsd license", "redistribution and use in source and binary forms with or without modification are permitted"],
     "CC-BY": ["licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"],
@@ -31,10 +36,10 @@ TEMPLATES = {
     "CC-BY-SA": ["licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 license"],
     "CC0": ["released under cc0 1 0 universal", "to the extent possible under law the author has waived all copyright"],
     "GPL": ["this work is licensed under the gnu general public license version 3", "you can redistribute it and or modify it under the terms of the gnu general public license"],
-    "LGPL": ["licensed under the gnu lesser general public license version 2 1"],
+    "LGPL": ["licensed under the gnu lesser general public license version 2 1", "you can redistribute it and or modify it under the terms of the gnu lesser general public license"],
     "MIT": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software"],
     "MPL-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
-    "Proprietary": ["all rights reserved no part of this work may be reproduced without permission"],
+    "Proprietary": ["all rights reserved", "no part of this work may be reproduced without permission"],
 }
 #: Documents whose lines stand for the unknown class in training: those with the smallest crc32 of the id.
 SAMPLE_DOCS = 200
@@ -46,6 +51,8 @@ CONFIRM, CERTAIN = 0.6, 0.5
 COMMON = 0.005
 #: A line with this share of a template's bigrams may be a notice and is no unknown line.
 RESEMBLES = 0.5
+#: Words that mark a line as a comment.
+_MARK = r"(?i)^[^\p{L}\p{N}]*(?:rem|dnl)(?![\p{L}\p{N}])"
 _SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -144,11 +151,17 @@ def _anchor(grams: list[str]) -> str:
     return r"(?<![\p{L}\p{N}])(?:" + "|".join(words) + ")"
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def scan(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, licenses (array of start, end, family, probability, confirmed, by line) for each row of docs.
+    """doc_id, licenses (array of start, end, family, probability, confirmed, by start) for each row of docs.
 
-    start, end: code points of the line in the text. Lines of the unknown class, or of a family below `CERTAIN`, are left
-    out; an unconfirmed one keeps its family and says so. Null and empty texts have no lines.
+    start, end: code points of the lines in the text, of a wrapped notice from its first to its last line with a bigram
+    of the vocabulary. Lines of the unknown class, or of a family below `CERTAIN`, are left out; unconfirmed ones keep
+    their family and say so. Null and empty texts have no lines.
     """
     pick = np.flatnonzero(np.abs(model.weights).sum(axis=1))
     own = [model.vocabulary[i] for i in pick]
@@ -158,35 +171,81 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     sides = [(f, sorted(set(bigrams(t)) & set(own))) for f, ts in sorted(TEMPLATES.items()) for t in ts]
     templates = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(g).alias("grams")) for f, g in sides if g])
     anchor = _anchor(own)
-    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(x.alias("line"), i.alias("i")))
-    lines = F.filter(lines, lambda x: F.lower(x["line"]).rlike(anchor))
-    rows = docs.select("doc_id", "text", F.when(F.lower("text").rlike(anchor), lines).alias("lines"))
-    with_start = F.transform("lines", lambda x: F.struct(
-        x["line"].alias("line"), F.array_intersect(_grams(x["line"]), vocabulary).alias("grams"),
-        (F.char_length(F.array_join(F.slice(F.split("text", "\n", -1), F.lit(1), x["i"]), "\n")) + F.when(x["i"] > 0, 1).otherwise(0)).alias("start"),
-    ))
-    empty = F.lit([]).cast("array<struct<line:string,grams:array<string>,start:int>>")
-    rows = rows.select("doc_id", F.coalesce(F.filter(with_start, lambda x: F.size(x["grams"]) > 0), empty).alias("lines"))
+    split = F.transform(F.split("text", "\n", -1), lambda x: F.regexp_replace(x, _MARK, ""))
+    rows = docs.select("doc_id", "text", F.lower("text").rlike(anchor).alias("some"))
+    rows = rows.select("doc_id", F.when(F.col("some"), F.col("text")).alias("text"), F.when(F.col("some"), split).alias("all"))
+    ends = [F.transform("all", lambda x: F.regexp_extract(x, p, 1)) for p in (r"([\p{L}\p{N}]+)", r"([\p{L}\p{N}]+)[^\p{L}\p{N}]*$")]
+    rows = rows.select("*", ends[0].alias("first"), ends[1].alias("last"))
 
-    def logits(grams: Column) -> Column:
-        return F.aggregate(grams, bias, lambda acc, g: F.zip_with(acc, F.element_at(weights, F.array_position(vocabulary, g).cast("int")), lambda a, w: a + w))
+    def near(words: str, i: Column) -> Column:
+        return F.coalesce(F.get(F.col(words), i), F.lit(""))
 
-    scored = F.transform("lines", lambda x: F.struct(x["start"].alias("start"), F.char_length(x["line"]).alias("n"), x["grams"].alias("grams"), logits(x["grams"]).alias("z")))
-    rows = rows.select("doc_id", scored.alias("lines"))
+    wide = F.transform("all", lambda x, i: F.struct(i.alias("i"), x.alias("line"), F.concat_ws(" ", F.when(near("first", i) != "", near("last", i - 1)), x, F.when(near("first", i) != "", near("first", i + 1))).alias("wide")))
+    wide = F.filter(wide, lambda x: F.lower(x["wide"]).rlike(anchor))
+    rows = rows.select("doc_id", "text", "last", wide.alias("wide"))
+    grams = F.transform("wide", lambda x: F.struct(x["i"].alias("i"), F.array_intersect(_grams(x["line"]), vocabulary).alias("grams"), F.array_intersect(_grams(x["wide"]), vocabulary).alias("wide")))
+    rows = rows.select("doc_id", "text", "last", F.filter(grams, lambda x: F.size(x["wide"]) > 0).alias("lines"))
 
-    def decide(x: Column) -> Column:
-        top = F.array_max(x["z"])
-        family = F.element_at(names, F.array_position(x["z"], top).cast("int"))
-        prob = F.lit(1.0) / F.aggregate(x["z"], F.lit(0.0), lambda acc, z: acc + F.exp(z - top))
-        held = F.exists(templates, lambda t: (t["family"] == family) & (F.size(F.array_intersect(t["grams"], x["grams"])) >= CONFIRM * F.size(t["grams"])))
-        return F.struct(x["start"].alias("start"), (x["start"] + x["n"]).alias("end"), family.alias("family"), prob.alias("probability"), held.alias("confirmed"))
+    def logits(grams: Column) -> Column:
+        return F.aggregate(grams, bias, lambda acc, g: F.zip_with(acc, F.element_at(weights, F.array_position(vocabulary, g).cast("int")), lambda a, w: a + w))
 
-    decided = F.filter(F.transform("lines", decide), lambda x: (x["family"] != UNKNOWN) & (x["probability"] >= CERTAIN))
-    return rows.select("doc_id", decided.alias("licenses"))
+    def decide(grams: Column) -> Column:
+        """family, probability, confirmed."""
+
+        def of(z: Column) -> Column:
+            top = F.array_max(z)
+            family = F.element_at(names, F.array_position(z, top).cast("int"))
+            prob = F.lit(1.0) / F.aggregate(z, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))
+            held = F.exists(templates, lambda t: (t["family"] == family) & (F.size(F.array_intersect(t["grams"], grams)) >= CONFIRM * F.size(t["grams"])))
+            return F.struct(family.alias("family"), prob.alias("probability"), held.alias("confirmed"))
+
+        return _let(logits(grams), of)
+
+    def counts(d: Column) -> Column:
+        return (d["family"] != UNKNOWN) & (d["probability"] >= CERTAIN)
+
+    lines = F.transform("lines", lambda x: F.struct(x["i"].alias("i"), x["wide"].alias("wide"), F.when(F.size(x["grams"]) > 0, decide(x["grams"])).alias("d")))
+    rows = rows.select("doc_id", "text", "last", lines.alias("lines"))
+    found, run = "array<struct<family:string,probability:double,confirmed:boolean>>", "struct<a:int,b:int,grams:array<string>>"
+    sure = F.filter("lines", lambda x: F.coalesce(counts(x["d"]) & x["d"]["confirmed"], F.lit(False)))
+    rest = F.filter("lines", lambda x: ~F.coalesce(counts(x["d"]) & x["d"]["confirmed"], F.lit(False)))
+    rows = rows.select("doc_id", "text", "last", F.transform(sure, lambda x: F.struct(x["i"].alias("a"), x["i"].alias("b"), F.array(x["d"]).cast(found).alias("found"))).alias("sure"), rest.alias("rest"))
+    # a run begins where the line before it that has a bigram is further off, or a line without a word lies between
+    begins = F.filter(F.transform("rest", lambda x, k: F.when((k == 0) | (x["i"] - F.get("rest", k - 1)["i"] > 2) | (F.get("last", x["i"] - 1) == ""), k)), lambda k: k.isNotNull())
+    rows = rows.select("*", begins.alias("begins"))
+    runs = F.transform("begins", lambda k, n: F.slice("rest", k + 1, F.coalesce(F.get("begins", n + 1), F.size("rest")) - k))
+    runs = F.transform(runs, lambda r: F.struct(r[0]["i"].alias("a"), F.element_at(r, -1)["i"].alias("b"), F.array_distinct(F.flatten(F.transform(r, lambda x: x["wide"]))).alias("grams")).cast(run))
+    rows = rows.select("doc_id", "text", "sure", runs.alias("runs"))
+    of_family = F.create_map(*[x for f in sorted(TEMPLATES) for x in (F.lit(f), F.lit(sorted({g for t in TEMPLATES[f] for g in bigrams(t)})))])
+
+    def take(acc: Column, _: Column) -> Column:
+        def with_(d: Column) -> Column:
+            left = F.when(counts(d) & d["confirmed"], F.array_except(acc["grams"], of_family[d["family"]])).otherwise(F.lit([]).cast("array<string>"))
+            return F.struct(left.alias("grams"), F.when(counts(d), F.concat(acc["found"], F.array(d).cast(found))).otherwise(acc["found"]).alias("found"))
+
+        return F.when(F.size(acc["grams"]) == 0, acc).otherwise(_let(decide(acc["grams"]), with_))
+
+    def taken(x: Column) -> Column:
+        start = F.struct(x["grams"].alias("grams"), F.lit([]).cast(found).alias("found"))
+        every = F.aggregate(F.sequence(F.lit(1), F.lit(len(TEMPLATES))), start, take, lambda acc: acc["found"])
+        # what is left of a confirmed run confirms a family or says nothing
+        return F.filter(every, lambda d, k: (k == 0) | d["confirmed"])
+
+    wrapped = F.transform("runs", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), taken(x).alias("found")))
+    rows = rows.select("doc_id", "text", F.filter(F.concat("sure", wrapped), lambda x: F.size(x["found"]) > 0).alias("hits"))
+    rows = rows.select("doc_id", "hits", F.when(F.size("hits") > 0, F.split("text", "\n", -1)).alias("all"))
+
+    def place(x: Column) -> Column:
+        start = F.char_length(F.array_join(F.slice("all", F.lit(1), x["a"]), "\n")) + F.when(x["a"] > 0, 1).otherwise(0)
+        n = F.char_length(F.array_join(F.slice("all", x["a"] + 1, x["b"] - x["a"] + 1), "\n"))
+        return F.transform(x["found"], lambda d: F.struct(start.alias("start"), (start + n).alias("end"), d["family"].alias("family"), d["probability"].alias("probability"), d["confirmed"].alias("confirmed")))
+
+    empty = F.lit([]).cast("array<struct<start:int,end:int,family:string,probability:double,confirmed:boolean>>")
+    return rows.select("doc_id", F.coalesce(F.array_sort(F.flatten(F.transform("hits", place))), empty).alias("licenses"))
 
 
 def op10_licenses(spark, sf_dir: str) -> DataFrame:
-    """doc_id, families (confirmed, sorted, comma-joined), n_lines (confirmed), n_unconfirmed, probability (the highest)."""
+    """doc_id, families (confirmed, sorted, comma-joined), n_lines (confirmed; a wrapped notice is one), n_unconfirmed, probability (the highest)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = scan(docs, train(docs))
     sure = F.filter("licenses", lambda x: x["confirmed"])

@@ -160,3 +160,18 @@ def test_frequent_notices_stay_features(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: [x["family"] for x in r["licenses"] if x["confirmed"]] for r in licenses.scan(df, licenses.train(df)).collect()}
     assert got == {i: [["MIT", "CC-BY-NC"][i % 2]] for i in range(60)}
+
+
+def test_wrapped_and_short_notices(spark):
+    model = licenses.fit([prose("en", 12, i) for i in range(200)])
+    gpl = " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU {}General Public License as published by\n * the Free Software Foundation.\n"
+    planted = ["This work is licensed under the GNU General Public License, version 3.", "All rights reserved.", "Licensed under CC BY-NC 4.0.", "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."]
+    mit, cc = "# Released\n# under the MIT\n# License.", "# This work is licensed under a Creative\n# Commons Attribution\n# 4.0 International License"
+    texts = [gpl.format(""), gpl.format("Lesser "), gpl.format("Affero "), *planted, "\n".join(planted), f"{mit}\n{cc}", "dnl Released under\ndnl the MIT\ndnl License", "Released under\n *\nthe MIT\n//\nLicense", f"of that\nwhich\n\n{mit}\n\nthis"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [x for x in r["licenses"] if x["confirmed"]] for r in licenses.scan(df, model).collect()}
+    one = [["GPL"], ["LGPL"], ["AGPL"], ["GPL"], ["Proprietary"], ["CC-BY-NC"], ["MIT"], ["Apache-2.0"]]
+    want = [*one, [x for y in one[3:] for x in y], ["CC-BY", "MIT"], ["MIT"], [], ["MIT"]]
+    assert [[x["family"] for x in got[i]] if i != 9 else sorted(x["family"] for x in got[i]) for i in range(len(texts))] == want
+    assert (got[0][0]["start"], got[0][0]["end"]) == (0, texts[0].index("\n * the Free"))
+    assert texts[12][got[12][0]["start"] : got[12][0]["end"]] == mit
