@@ -42,6 +42,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def row_ids(df: DataFrame) -> DataFrame:
+    """df with _row, a number of its own for each row, the same whenever the frame is read.
+
+    Of a scan of Parquet files it is the file's number and the row's place in the file; only the files' names reach the
+    driver. Other frames are written first.
+    """
+    analyzed = df._jdf.queryExecution().analyzed()
+    if analyzed.getClass().getSimpleName() != "LogicalRelation" or "parquet" not in analyzed.simpleString(25).lower():
+        return written(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    rows = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    names = sorted(r[0] for r in rows.select("_file").distinct().collect())
+    files = df.sparkSession.createDataFrame(list(enumerate(names)), "_number long, _file string")
+    return rows.join(F.broadcast(files), "_file").select(*df.columns, (F.shiftleft("_number", 40) + F.col("_at")).alias("_row"))
+
+
 def remainder(id_col: str | Column, mod: int) -> Column:
     """crc32 of the id as text, modulo mod; 0 (held out) for a null id."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callmeter.llm.common import written
+from callmeter.llm.common import row_ids, written
 
 #: Characters of a window, and from one window of a text to the next.
 WINDOW, STRIDE = 80, 40
@@ -234,9 +234,10 @@ def _search(docs: DataFrame, ids: list[int | None], texts: list[str]) -> DataFra
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with all columns, that hold no window of a benchmark text."""
-    found = passages(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    """The rows of docs, with all columns, that hold no window of a benchmark text; of rows with one doc_id, each by itself."""
+    rows = row_ids(docs)
+    found = passages(rows.select(F.col("_row").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(found, "_row", "left_anti").select(*docs.columns)
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:

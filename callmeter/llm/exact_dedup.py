@@ -16,9 +16,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from callmeter.llm.common import cut
+from callmeter.llm.common import cut, row_ids
 
 #: What is deleted before texts are compared.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -28,7 +27,7 @@ BLOCK_CHARS = 4096
 
 def _pieces(docs: DataFrame, block_chars: int) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    norm = docs.select("doc_id", F.char_length(text).alias("n_chars"), F.regexp_replace(text, WHITE, "").alias("norm"))
+    norm = docs.select("doc_id", *(["_row"] if "_row" in docs.columns else []), F.char_length(text).alias("n_chars"), F.regexp_replace(text, WHITE, "").alias("norm"))
     n = F.greatest(F.lit(1), F.ceil(F.char_length("norm") / block_chars).cast("int"))
     return norm.withColumn("n_blocks", n)
 
@@ -49,8 +48,9 @@ def _first_names(docs: DataFrame, block_chars: int, key: Column, exact: bool) ->
     pieces = _pieces(docs, block_chars)
     keyed = pieces.select(F.explode(_blocks(block_chars)).alias("block")).select(key.alias("h"), "block")
     names = _numbered(keyed, ["h", "block"])
+    rid = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
     rows = pieces.select(
-        F.monotonically_increasing_id().alias("rid"), "doc_id", "n_chars", F.sha2("norm", 256).alias("text_sha256"),
+        rid.alias("rid"), "doc_id", "n_chars", F.sha2("norm", 256).alias("text_sha256"),
         F.col("n_blocks").alias("left"), F.posexplode(_blocks(block_chars)).alias("pos", "block"),
     )
     rows = rows.withColumn("h", key)
@@ -66,6 +66,7 @@ def name_documents(docs: DataFrame, block_chars: int = BLOCK_CHARS, key: Column
     """rid, doc_id, n_chars, text_sha256, level, name: (level, name) is the same for equal texts only.
 
     key: expression over the column `block` that the join uses in place of the block; any, also a poor one, is right.
+    rid is the column _row of docs where there is one.
     """
     key = F.xxhash64("block") if key is None else key
     now = cut(_first_names(docs, block_chars, key, exact=False))
@@ -99,20 +100,22 @@ def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS, key: Column | N
     Of equal texts the row with the most code points stays, then the smallest doc_id (null last); of rows that are
     repeated whole, one. A null text is empty; empty texts are equal. Other columns are ignored; no rows give no rows.
     """
-    named = name_documents(docs.select("doc_id", "text"), block_chars, key)
+    return _decided(name_documents(docs.select("doc_id", "text"), block_chars, key)).drop("rid")
+
+
+def _decided(named: DataFrame) -> DataFrame:
     best = F.min(F.struct((-F.col("n_chars")).alias("size"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("best")
     groups = named.groupBy("level", "name").agg(best, F.count(F.lit(1)).alias("group_size"))
     return named.join(groups, ["level", "name"]).select(
-        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), "text_sha256"
+        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), "text_sha256", "rid"
     )
 
 
 def keep_one(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of docs that stay, with all columns; of rows with one doc_id, the longest text."""
-    kept = exact_dedup(docs, block_chars).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.char_length("text").desc(), F.col("text"))
-    return rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    """The rows of docs that stay, with all columns: one of each text, also where texts share a doc_id or have none."""
+    rows = row_ids(docs)
+    kept = _decided(name_documents(rows.select("_row", "doc_id", "text"), block_chars)).filter("kept").select(F.col("rid").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

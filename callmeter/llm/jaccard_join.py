@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callmeter.llm.common import cut
+from callmeter.llm.common import cut, row_ids
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -292,9 +292,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def keep_representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose doc_id is that of their class, with all columns; rows with a null id stay."""
-    kept = near_duplicates(docs.filter("doc_id IS NOT NULL"), threshold).filter("doc_id = class_id").select("doc_id").distinct()
-    return docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL"))
+    """One row of each class, with all columns: that with the smallest doc_id. Rows are compared as rows, so texts that
+    share a doc_id are documents of their own. Rows with a null id stay."""
+    rows = row_ids(docs)
+    named = rows.filter("doc_id IS NOT NULL")
+    classes = near_duplicates(named.select(F.col("_row").alias("doc_id"), "text"), threshold).select(F.col("doc_id").alias("_row"), "class_id")
+    first = F.min(F.struct("doc_id", "_row")).alias("first")
+    kept = classes.join(named.select("_row", "doc_id"), "_row").groupBy("class_id").agg(first).select(F.col("first._row").alias("_row"))
+    return named.join(kept, "_row", "left_semi").unionByName(rows.filter("doc_id IS NULL")).select(*docs.columns)
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:

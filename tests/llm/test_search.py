@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -163,3 +164,21 @@ def test_pipeline(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
     assert exact_dedup.keep_one(docs).count() == 8
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_stages_decide_for_rows_not_ids(spark, tmp_path, stored):
+    r = random.Random(8)
+    text = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(30))
+    bench, a, b, c, d = (text() for _ in range(5))
+    near = a + " more"
+    rows = [(None, a), (None, b), (None, f"x {bench} y"), (1, c), (1, d), (1, f"z {bench}"), (2, c + "  "), (0, a + " "), (3, near), (3, text())]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    if stored:
+        df.write.parquet(str(tmp_path / "d"))
+        df = spark.read.parquet(str(tmp_path / "d"))
+    left = lambda x: sorted((y["doc_id"] or 0, y["text"]) for y in x.collect())
+    want = lambda drop: sorted((i or 0, t) for k, (i, t) in enumerate(rows) if k not in drop)
+    assert left(exact_dedup.keep_one(df)) == want({0, 3})
+    assert left(decontaminate.drop_leaks(df, spark.createDataFrame([(0, bench)], "item_id long, text string"))) == want({2, 5})
+    assert left(jaccard_join.keep_representatives(df)) == want({6, 8})
