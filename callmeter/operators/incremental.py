@@ -49,11 +49,14 @@ def export_csv(calls: DataFrame, as_of: dt.date, path: str, code: str = "USD", r
 
 
 def export_json(calls: DataFrame, as_of: dt.date, generated: str) -> DataFrame:
-    """One row, one JSON document: generated, periods by label, projects of 30 days; values are strings."""
+    """One row, one JSON document: generated, periods by label, all projects of 30 days; values are strings.
+
+    One document is one row, which a task holds with a few values for each project; export_csv() writes them as rows.
+    """
     s = export_summary(calls, as_of)
     text = lambda c: F.col(c).cast("string").alias(c)
     periods = s.agg(F.map_from_entries(F.collect_list(F.struct("period", F.struct(F.struct(text("cost_usd"), text("calls"), text("sessions")).alias("summary"))))).alias("periods"))
-    projects = reports.top(reports.by_project(reports.in_days(calls, *reports.period("30days", as_of))), "cost_usd", "project", 1_000)
+    projects = reports.by_project(reports.in_days(calls, *reports.period("30days", as_of)))
     listed = projects.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("cost_usd")).alias("o"), "project", "calls", "sessions", "cost_usd"))), lambda x: F.struct(x["project"].alias("project"), x["cost_usd"].cast("string").alias("cost_usd"), x["calls"].cast("string").alias("calls"), x["sessions"].cast("string").alias("sessions"))).alias("projects"))
     return periods.join(F.broadcast(listed)).select(F.to_json(F.struct(F.lit(generated).alias("generated"), "periods", "projects")).alias("value"))
 

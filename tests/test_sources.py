@@ -152,6 +152,13 @@ def test_exports(spark, claude, tmp_path):
     assert json.loads(incremental.status_json(calls, day).first()["value"])["month"]["calls"] == 4
 
 
+def test_export_json_lists_all_projects(spark):
+    rows = [("s", f"x{i}", f"p{i}", "2024-01-02", i) for i in range(1_203)]
+    calls = spark.createDataFrame(rows, "source_path string, session_id string, project string, day string, cost_usd int").selectExpr("* EXCEPT (cost_usd)", "CAST(cost_usd AS decimal(38,12)) AS cost_usd")
+    listed = json.loads(incremental.export_json(calls, dt.date(2024, 1, 2), "now").first()["value"])["projects"]
+    assert [p["project"] for p in listed] == [f"p{i}" for i in reversed(range(1_203))]
+
+
 def test_retries(spark):
     def retries(tools):
         rows = [("s", "x", "t", i, t, "u", "m", "d", "p", 0) for i, t in enumerate(tools)]
