@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A word is given to the network as an embedding of itself and the mean embedding of its character trigrams, so a word
-that was never seen still has its parts. Windows of `WINDOW` words, half overlapping, cover the whole text; the text is
+that was never seen still has its parts. Runs of more than `LONGEST` characters (scripts without spaces, joined words)
+are cut into overlapping pieces that are words of their own, so that every trigram counts. Windows of `WINDOW` words, half overlapping, cover the whole text; the text is
 as toxic as its worst window. Training tells the network only which texts are toxic: the gradient flows through the
 window that is worst at the time. Embeddings start from how much more often toxic texts have a word or a trigram.
 
@@ -20,12 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from callmeter.llm.common import remainder
 
 SAMPLE = 1500
 WINDOW, STEP = 32, 16
+#: Characters of a word; pieces of a longer run share two, so each of its trigrams is in one.
+LONGEST = 40
 BUCKETS, EMBED, HIDDEN, ATTEND = 1 << 15, 4, 8, 8
 #: Small samples are gone through more often, until so many steps are made.
 EPOCHS, BATCH, RATE, STEPS = 3, 64, 0.01, 140
@@ -37,7 +39,8 @@ Params = dict[str, np.ndarray]
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    runs = _WORD.findall((text or "").lower())
+    return [w[k : k + LONGEST] for w in runs for k in ((0,) if len(w) <= LONGEST else range(0, len(w) - 2, LONGEST - 2))]
 
 
 def _bucket(data: str) -> int:
@@ -45,7 +48,7 @@ def _bucket(data: str) -> int:
 
 
 def trigram_buckets(word: str) -> list[int]:
-    edged = f"^{word[:40]}$"
+    edged = f"^{word}$"
     return [_bucket("c" + edged[k : k + 3]) for k in range(len(edged) - 2)]
 
 
@@ -252,8 +255,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows with one id the first by text counts. Without both classes every text scores the prior.
     """
     rows = docs.select("doc_id").distinct().join(labels.filter("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "doc_id")
-    place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = rows.withColumn("n", place).filter(F.col("n") <= sample).drop("n")
+    of_class = [rows.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
+    ids = of_class[0].unionByName(of_class[1])
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
     few = sorted(found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect(), key=lambda r: r["doc_id"])
     shares = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}

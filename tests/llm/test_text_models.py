@@ -175,3 +175,14 @@ def test_wrapped_and_short_notices(spark):
     assert [[x["family"] for x in got[i]] if i != 9 else sorted(x["family"] for x in got[i]) for i in range(len(texts))] == want
     assert (got[0][0]["start"], got[0][0]["end"]) == (0, texts[0].index("\n * the Free"))
     assert texts[12][got[12][0]["start"] : got[12][0]["end"]] == mit
+
+
+def test_toxicity_reads_long_runs_whole():
+    run = "".join(chr(0x4E00 + i) for i in range(203))
+    pieces = toxicity.words_of(f"a {run} b")
+    assert {run[k : k + 3] for k in range(201)} == {p[k : k + 3] for p in pieces[1:-1] for k in range(len(p) - 2)}
+    assert max(map(len, pieces)) == 40 and toxicity.words_of("x" * 40) == ["x" * 40]
+    texts = [prose("en", 20, i) + (" idiot" if i % 2 else "") for i in range(120)]
+    model = toxicity.Model(toxicity.fit(texts, [i % 2 for i in range(120)]), 0.0, 0.0)
+    far, clean = toxicity.Scorer(model).scores(["of" * 60 + "idiotidiotidiotidiotidiotidiot", "of" * 60 + "whichwhichwhichwhichwhich"])
+    assert far > clean
