@@ -1,9 +1,10 @@
 """Byte-level BPE over Arrow batches with the tokenizers library.
 
-The library runs the merges. It is given each distinct piece of a batch once, all of them in one string: the cost of a
-call is paid once for thousands of pieces, and repeated words cost a look-up. Pieces come from the split pattern; where
-every space follows a character that is not white space, cutting the text at the spaces first cannot split a piece, and
-the part between two spaces is looked up as a whole.
+The library runs the merges. Where no two white characters of a text are neighbours, cutting it before each of its
+spaces and newlines cannot split a piece of the pattern; Arrow cuts such texts and numbers their distinct parts. Only
+parts that are new to the worker are split by the pattern, many in one string, and only their distinct pieces go to the
+library, again in one string: the cost of a call is paid once for thousands of pieces. The ids of a text are gathered
+from those of its parts by numpy. Other texts go to the pattern whole.
 
 Bytes are written as characters by the usual table of byte-level BPE (`BYTE_CHARS`). Decoding reverses it; a character
 whose bytes lie in two tokens is whole again because bytes are joined before they are read as UTF-8.
@@ -12,20 +13,21 @@ whose bytes lie in two tokens is whole again because bytes are joined before the
 from __future__ import annotations
 
 import base64
-import re
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-#: Entries after which the cache of a worker starts anew.
-CACHE = 1_000_000
-#: Texts that are looked up together.
-TOGETHER = 4096
-#: Marks that the pattern cuts from the word before them.
-MARKS = frozenset(".,;:!?")
+#: Parts that a worker keeps; then it starts anew.
+CACHE = 250_000
+#: Bytes of texts that are looked up together; a longer text is looked up alone.
+TOGETHER = 1 << 24
 
 
 def _byte_chars() -> list[str]:
@@ -40,7 +42,53 @@ BYTE_CHARS = _byte_chars()
 _BETWEEN = b"\xff"
 _TO_CHARS = {b: ord(c) for b, c in enumerate(BYTE_CHARS)} | {0xFF: 0x0A}
 _TO_BYTES = {c: b for b, c in enumerate(BYTE_CHARS)}
-_SPACE_AFTER_WHITE = re.compile(r"\s ")
+_WHITE = r"\x09-\x0D\x1C-\x20\x{85}\p{Z}"
+#: Two white characters in a row (as the split pattern knows them, and some more), for Arrow.
+_TWO_WHITE = f"[{_WHITE}][{_WHITE}]"
+_LATIN = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
+#: Strings that are one piece; that are a piece and a mark; that can share a call of the pattern.
+_ONE, _MARKED, _PLAIN = f"^ ?{_LATIN}+$", f"^ ?{_LATIN}+[.,;:!?]$", f"^ ?[^{_WHITE}]+$"
+
+
+def _byte_chars() -> list[str]:
+    """The character of each byte: printable Latin-1 bytes stand for themselves, the others follow from U+0100."""
+    same = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = (b for b in range(256) if b not in same)
+    return [chr(x) for _, x in sorted([(b, b) for b in same] + [(b, 0x100 + k) for k, b in enumerate(rest)])]
+
+
+BYTE_CHARS = _byte_chars()
+#: No UTF-8 has this byte; between pieces it stands for a newline.
+_BETWEEN = b"\xff"
+_TO_CHARS = {b: ord(c) for b, c in enumerate(BYTE_CHARS)} | {0xFF: 0x0A}
+_TO_BYTES = {c: b for b, c in enumerate(BYTE_CHARS)}
+#: A space after white space (as the split pattern knows it, and some more), for Arrow.
+_SPACE_AFTER_WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\p{Z}] "
+#: Strings that can share a call of the pattern: one space may come first, and there is no other white space.
+_PLAIN = r"^ ?[^\x09-\x0D\x1C-\x20\x{85}\p{Z}]+$"
+
+
+def _byte_chars() -> list[str]:
+    """The character of each byte: printable Latin-1 bytes stand for themselves, the others follow from U+0100."""
+    same = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = (b for b in range(256) if b not in same)
+    return [chr(x) for _, x in sorted([(b, b) for b in same] + [(b, 0x100 + k) for k, b in enumerate(rest)])]
+
+
+BYTE_CHARS = _byte_chars()
+#: No UTF-8 has this byte; between pieces it stands for a newline.
+_BETWEEN = b"\xff"
+_TO_CHARS = {b: ord(c) for b, c in enumerate(BYTE_CHARS)} | {0xFF: 0x0A}
+_TO_BYTES = {c: b for b, c in enumerate(BYTE_CHARS)}
+#: A space after white space (as the split pattern knows it, and some more), for Arrow.
+_SPACE_AFTER_WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\p{Z}] "
+#: Parts with white space, or empty ones, are split by themselves.
+_ODD_PART = r"^$|[\x09-\x0D\x1C-\x20\x{85}\p{Z}]"
+
+
+def _list(x: pa.Array) -> list:
+    """As to_pylist(), for arrays without nulls, but faster."""
+    return x.to_numpy(zero_copy_only=False).tolist()
 
 
 def as_chars(data: bytes) -> str:
@@ -64,8 +112,9 @@ class Encoder:
         self.merger.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")  # no byte is written as a newline
         self.parts: dict[str, bytes] = {}
 
-    def _merge(self, pieces: list[str]) -> dict[str, bytes]:
-        out: dict[str, bytes] = {}
+    def _merge(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
+        out: list[bytes] = []
         for k in range(0, len(pieces), 20_000):
             some = pieces[k : k + 20_000]
             data = [x.encode("utf-8", "replace") for x in some]
@@ -75,44 +124,87 @@ class Encoder:
             ends = np.searchsorted(np.cumsum(self.token_size[ids]), np.cumsum([len(x) for x in data]))
             ends = ((ends + 1) * self.dtype.itemsize).tolist()
             raw = ids.tobytes()
-            out.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends)], strict=True))
+            out += [raw[a:b] for a, b in zip([0, *ends], ends)]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for k in range(0, len(texts), TOGETHER):
-            out += self._encode(texts[k : k + TOGETHER])
+    def _split(self, parts: list[str]) -> list[bytes]:
+        """Ids of distinct strings that are encoded each by itself."""
+        strings = pa.array(parts, pa.large_string())
+        one, marked, plain = (pc.match_substring_regex(strings, x) for x in (_ONE, _MARKED, _PLAIN))
+        rest = pc.invert(pc.or_(one, marked))
+        with_mark = _list(strings.filter(marked))
+        # a newline between strings without white space at their end is a piece by itself
+        pieces = self.pattern.findall("\n".join(_list(strings.filter(pc.and_(rest, plain)))))
+        odd = [self.pattern.findall(x) for x in _list(strings.filter(pc.invert(plain)))]
+        ids = dict.fromkeys(chain(_list(strings.filter(one)), (x[:-1] for x in with_mark), (x[-1] for x in with_mark), pieces, *odd))
+        new = []
+        for x in ids:
+            if (found := self.parts.get(x)) is None:
+                new.append(x)
+            else:
+                ids[x] = found
+        ids.update(zip(new, self._merge(new), strict=True))
+        ends = [k for k, x in enumerate(pieces) if x == "\n"]
+        of_plain = (b"".join(map(ids.__getitem__, pieces[a:b])) for a, b in zip([0, *(k + 1 for k in ends)], [*ends, len(pieces)]))
+        of_odd = (b"".join(map(ids.__getitem__, x)) for x in odd)
+        out = []
+        for x, is_one, is_marked, is_plain in zip(parts, _list(one), _list(marked), _list(plain), strict=True):
+            out.append(ids[x] if is_one else ids[x[:-1]] + ids[x[-1]] if is_marked else next(of_plain) if is_plain else next(of_odd))
         return out
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.parts) > CACHE:
+    def batches(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of some texts in a row and how many each has, for all texts in their order. A null text has none."""
+        texts = pc.fill_null(pc.cast(texts, pa.large_string()), "")
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        begin = 0
+        while begin < len(texts):
+            before = size[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(size, before + TOGETHER, side="right")))
+            yield self._some(texts.slice(begin, end - begin))
+            begin = end
+
+    def _some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        whole = pc.match_substring_regex(texts, _TWO_WHITE)
+        cut = pc.split_pattern(pc.replace_substring(pc.if_else(whole, "", texts), "\n", " \n"), " ")
+        first = cut.offsets.to_numpy()
+        of = cut.values.slice(first[0], first[-1] - first[0]).dictionary_encode()
+        first = first - first[0]
+        keys = [x if x[:1] == "\n" else " " + x for x in _list(of.dictionary)]
+        code = of.indices.to_numpy().copy()
+        # the first part of a text has no space before it; a text that is not cut is its first part
+        heads = pc.if_else(whole, texts, pc.list_element(cut, 0)).dictionary_encode()
+        code[first[:-1]] = heads.indices.to_numpy() + len(keys)
+        keys += _list(heads.dictionary)
+        have = list(map(self.parts.get, keys))
+        new = [k for k, x in enumerate(have) if x is None]
+        more = [keys[k] for k in new]
+        found = self._split(more)
+        if len(self.parts) + len(new) > CACHE:
             self.parts = {}
-        cut: list[tuple[list[str], list[str]]] = []
-        heads: set[str] = set()
-        tails: set[str] = set()
-        for text in texts:
-            if _SPACE_AFTER_WHITE.search(text):
-                head, tail = self.pattern.findall(text), []
-            else:
-                first, *tail = text.split(" ")
-                head = self.pattern.findall(first)
-            heads.update(head)
-            tails.update(tail)
-            cut.append((head, tail))
-        new = [x for x in tails if x not in self.parts]
-        split = [self._after_space(x) for x in new]
-        heads.update(*split)
-        piece = self._merge(list(heads)).__getitem__
-        self.parts.update(zip(new, [piece(y[0]) if len(y) == 1 else b"".join(map(piece, y)) for y in split], strict=True))
-        return [b"".join(map(piece, h)) + b"".join(map(self.parts.__getitem__, t)) for h, t in cut]
-
-    def _after_space(self, part: str) -> list[str]:
-        """Pieces of a part and the space before it; letters, alone or before one mark, need no pattern."""
-        if part.isalpha():
-            return [" " + part]
-        if part[-1:] in MARKS and part[:-1].isalpha():
-            return [" " + part[:-1], part[-1]]
-        return self.pattern.findall(" " + part)
+        self.parts.update((x, y) for x, y in zip(more, found, strict=True) if len(x) < 64)
+        for k, x in zip(new, found, strict=True):
+            have[k] = x
+        wide = self.dtype.itemsize
+        size = np.fromiter(map(len, have), np.int64, len(have)) // wide
+        flat = np.frombuffer(b"".join(have), self.dtype)
+        shift = np.cumsum(size) - size
+        n = size[code]
+        ends = np.cumsum(n)
+        shift = shift[code] - (ends - n)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, self.dtype)
+        for k in range(0, len(code), 1 << 19):
+            last = min(len(code), k + (1 << 19)) - 1
+            a, b = int(ends[k] - n[k]), int(ends[last])
+            out[a:b] = flat[np.repeat(shift[k : last + 1], n[k : last + 1]) + np.arange(a, b)]
+        return out, np.diff(np.concatenate([[0], ends])[first])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as bytes."""
+        out: list[bytes] = []
+        for ids, n in self.batches(pa.array(texts, pa.large_string())):
+            raw, ends = ids.tobytes(), (np.cumsum(n) * self.dtype.itemsize).tolist()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends)]
+        return out
 
     def ids(self, data: bytes) -> np.ndarray:
         return np.frombuffer(data, self.dtype)

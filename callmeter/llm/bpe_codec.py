@@ -60,19 +60,21 @@ def digests(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = bpe.from_ranks(path)
-        decimal = [str(i).encode() for i in range(len(enc.token_bytes))]
+        decimal = [b"%d" % i for i in range(len(enc.token_bytes))]
         for batch in batches:
-            n, of_ids, of_text = [], [], []
-            encoded = enc.encode(_texts(batch))
-            for x in encoded:
-                ids = enc.ids(x).tolist()
-                n.append(len(ids))
-                of_ids.append(hashlib.sha256(b",".join(map(decimal.__getitem__, ids))).hexdigest())
-                of_text.append(hashlib.sha256(b"".join(map(enc.token_bytes.__getitem__, ids))).hexdigest())
-            out = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_text, pa.string())}
-            if keep_ids:
-                out["ids"] = pa.array([enc.ids(x).astype(np.int32) for x in encoded], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_pydict(out)
+            begin = 0
+            for flat, n in enc.batches(batch.column("text")):
+                of_ids, of_text = [], []
+                ends = np.cumsum(n).tolist()
+                for a, b in zip([0, *ends], ends):
+                    own = flat[a:b].tolist()
+                    of_ids.append(hashlib.sha256(b",".join(map(decimal.__getitem__, own))).hexdigest())
+                    of_text.append(hashlib.sha256(b"".join(map(enc.token_bytes.__getitem__, own))).hexdigest())
+                out = {"doc_id": batch.column("doc_id").slice(begin, len(n)), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_text, pa.string())}
+                if keep_ids:
+                    out["ids"] = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(flat.astype(np.int32)))
+                yield pa.RecordBatch.from_pydict(out)
+                begin += len(n)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     more = ", ids array<int>" if keep_ids else ""

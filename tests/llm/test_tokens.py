@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -23,7 +24,7 @@ def rank_encoding():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-PARTS = list("ae \n\t.'s1=-") + ["  ", "the", "ing", "é", "ß", "中", "😀", "===", "\u00a0", "\x1c", "²", "<|endoftext|>"]
+PARTS = list("ae \n\t.'s1=-") + ["  ", "\n\n", "the", "Ünique,", "\u0250", "ª", "ing", "é", "ß", "中", "😀", "===", "\u00a0", "\x1c", "²", "<|endoftext|>"]
 TEXTS = st.lists(st.sampled_from(PARTS), max_size=40).map("".join)
 
 
@@ -69,15 +70,19 @@ def test_rans_round_trip_from_every_checkpoint(n):
     assert (reader.decode(block) == symbols).all()
     parts = [reader.decode(block, s) for s in range(reader.sections(block))]
     assert (np.concatenate([*parts, np.zeros(0)]) == symbols).all()
-    if n:
+    places = {0, rans.HEAD.size - 1, rans.HEAD.size, rans.HEAD.size + 8, len(block) // 2, len(block) - 1}
+    for at in sorted(x for x in places if x < len(block)):
         damaged = bytearray(block)
-        damaged[-1 if n > 100 else rans.HEAD.size + 8] ^= 0x55
+        damaged[at] ^= 0x55
         with pytest.raises(ValueError):
             reader.decode(bytes(damaged))
+    with pytest.raises(ValueError):
+        reader.decode(block[:-1])
 
 
 @pytest.mark.parametrize("block_tokens", [50, 1 << 20])
-def test_token_files(spark, docs, block_tokens):
+@pytest.mark.parametrize("kind", ["long", "int"])
+def test_token_files(spark, docs, tmp_path, block_tokens, kind):
     t = Tokenizer.from_file(JSON)
     want, start = [], 0
     rows = sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"]))
@@ -85,11 +90,14 @@ def test_token_files(spark, docs, block_tokens):
         ids = np.array(t.encode(r["text"] or "", add_special_tokens=False).ids + [2], "<u4")
         want.append((r["doc_id"], start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
-    got = token_files.read(token_files.write(docs, JSON, block_tokens=block_tokens)).collect()
-    assert sorted(map(tuple, got), key=lambda x: x[1]) == want
+    token_files.write(docs.withColumn("doc_id", F.col("doc_id").cast(kind)), str(tmp_path / "t"), JSON, block_tokens=block_tokens)
+    got = token_files.read(spark.newSession(), str(tmp_path / "t"), ids=True).collect()
+    assert sorted((tuple(x)[:4] for x in got), key=lambda x: x[1]) == want
+    assert all(zlib.crc32(np.array(x["ids"], "<u4").tobytes()) == x["ids_crc32"] for x in got)
 
 
-def test_no_rows(spark, docs):
+def test_no_rows(spark, docs, tmp_path):
     none = docs.filter("doc_id < 0")
     assert bpe_codec.digests(none, MULTI).count() == 0
-    assert token_files.read(token_files.write(none, JSON)).count() == 0
+    token_files.write(none, str(tmp_path / "t"), JSON)
+    assert token_files.read(spark, str(tmp_path / "t")).count() == 0
