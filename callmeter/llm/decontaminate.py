@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callmeter.llm.common import row_ids, written
+from callmeter.llm.common import columns, row_ids, written
 
 #: Characters of a window, and from one window of a text to the next.
 WINDOW, STRIDE = 80, 40
@@ -28,8 +28,8 @@ WINDOW, STRIDE = 80, 40
 Q = 8
 #: Edits allowed, as a share of the window.
 BUDGET = 0.1
-#: Characters of benchmark texts that go to the tasks at a time.
-BLOCK_CHARS = 8_000_000
+#: Characters of benchmark texts that go to the tasks at a time; their index takes about 150 bytes for each in a worker.
+BLOCK_CHARS = 1_000_000
 #: Characters of documents that are looked at together.
 TOGETHER = 1 << 17
 _BASE = np.array(0x9E3779B97F4A7C15, np.uint64)
@@ -78,11 +78,12 @@ class Index:
         self.edits = np.minimum((BUDGET * self.size).astype(np.int64), np.maximum(0, (self.size - Q) // Q))
         self.need = np.maximum(1, self.size + 1 - Q - self.edits * Q)
         grams = [_hashes(w) for w in self.windows]
-        of = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        at = np.concatenate([np.arange(len(g)) for g in grams] or [np.zeros(0, np.int64)])
+        of = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])
+        at = np.concatenate([np.arange(len(g), dtype=np.int32) for g in grams] or [np.zeros(0, np.int32)])
         all_grams = np.concatenate(grams or [np.zeros(0, np.uint64)])
         order = np.argsort(all_grams, kind="stable")
         self.of, self.at = of[order], at[order]
+        grams = []
         self.grams, self.first = np.unique(all_grams[order], return_index=True)
         self.count = np.diff(np.append(self.first, len(order)))
         self.shift = np.uint64(64 - 22)
@@ -129,7 +130,7 @@ class Index:
         n = self.count[at]
         row = np.repeat(np.arange(len(at)), n)
         post = self.first[at][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        window = self.of[post]
+        window = self.of[post].astype(np.int64)
         diagonal = place[row] - self.at[post] + WINDOW  # never negative
         wide = int(self.edits.max(initial=0)) + 1  # a band has 2 * wide diagonals and starts wide after the one before
         band = diagonal // wide
@@ -208,9 +209,22 @@ def passages(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHA
 FOUND = "item_id long, start long, end long, edits int, n_windows int"
 
 
+#: The last index that a worker has built, by its texts.
+_last: list[tuple[list[str], Index]] = []
+
+
+def _index_of(texts: list[str]) -> Index:
+    if not _last or _last[0][0] != texts:
+        _last[:] = []  # the old one goes first
+        _last[:] = [(texts, Index(texts))]
+    return _last[0][1]
+
+
 def _search(docs: DataFrame, ids: list[int | None], texts: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(texts)
+        from callmeter.llm import decontaminate  # the worker's module, which keeps the index from one task to the next
+
+        index = decontaminate._index_of(texts)
         for batch in batches:
             own, raw = batch.column("doc_id"), batch.column("text").to_pylist()
             rows: list[tuple] = []
@@ -235,9 +249,9 @@ def _search(docs: DataFrame, ids: list[int | None], texts: list[str]) -> DataFra
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all columns, that hold no window of a benchmark text; of rows with one doc_id, each by itself."""
-    rows = row_ids(docs)
-    found = passages(rows.select(F.col("_row").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_row")).distinct()
-    return rows.join(found, "_row", "left_anti").select(*docs.columns)
+    rows, row = row_ids(docs)
+    found = passages(rows.select(F.col(row).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(row)).distinct()
+    return rows.join(found, row, "left_anti").select(*columns(docs))
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callmeter.llm.common import cut, row_ids
+from callmeter.llm.common import columns, cut, row_ids
 
 #: What is deleted before texts are compared.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -113,9 +113,9 @@ def _decided(named: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of docs that stay, with all columns: one of each text, also where texts share a doc_id or have none."""
-    rows = row_ids(docs)
-    kept = _decided(name_documents(rows.select("_row", "doc_id", "text"), block_chars)).filter("kept").select(F.col("rid").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    rows, row = row_ids(docs)
+    kept = _decided(name_documents(rows.select(F.col(row).alias("_row"), "doc_id", "text"), block_chars)).filter("kept").select(F.col("rid").alias(row))
+    return rows.join(kept, row, "left_semi").select(*columns(docs))
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ equal to their Jaccard similarity). Buckets of more than `SMALL` sets are split
 `DEPTH`; small ones, and what is still large then, are compared by brute force. Runs with fresh samples are repeated
 until a pair at the threshold is missed with a probability below 1 - `RECALL`.
 
+A set's number is that of one of the rows that have it, so that shared and missing doc_ids and repeated rows do no harm.
+
 Pairs are never rows. A bucket is compared inside its task, which returns, for each member, how many links it found,
 and the edges of a spanning forest of them. A pair is counted in the first of the buckets that hold both of its sets,
 which a task can tell from the list of buckets that travels with each set. Buckets with the same members as an earlier
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callmeter.llm.common import cut, row_ids
+from callmeter.llm.common import columns, cut, row_ids
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -32,8 +34,8 @@ RECALL = 0.9999
 SMALL, DEPTH = 64, 3
 #: Expected sampled coordinates at each split, as a multiple of 1 / threshold.
 BRANCHES = 1
-#: Sets of a block of a bucket too large for one task.
-BLOCK = 256
+#: Sets of a block of a bucket too large for one task, and shingles of them on the average.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 21
 #: Coordinates of the embedding.
 COORDINATES = 128
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -98,20 +100,23 @@ def plan(run: int, level: int) -> list[int]:
     return [int(x) for x in pick if x not in (2 * run, 2 * run + 1)][2 * level : 2 * level + 2]
 
 
-def _classes(docs: DataFrame) -> DataFrame:
-    """doc_id, sig (128 bits that name the set of shingles; null without words), one row for each row of docs."""
+def _classes(rows: DataFrame) -> DataFrame:
+    """row, doc_id, sig (128 bits that name the set of shingles; null without words), paths, n_shingles of row, doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            sigs, firsts = [], []
+            sigs, firsts, sizes = [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingler(text)
+                sizes.append(len(s))
                 sigs.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 firsts.append(embedding(s, WANTED).astype(np.int64).tolist() if len(s) else None)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "sig": pa.array(sigs, pa.binary()), "paths": pa.array(firsts, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({
+                "row": batch.column("row"), "doc_id": batch.column("doc_id"), "sig": pa.array(sigs, pa.binary()), "paths": pa.array(firsts, pa.list_(pa.int64())), "n_shingles": pa.array(sizes, pa.int64()),
+            })
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, sig binary, paths array<long>")
+    return rows.mapInArrow(run, "row long, doc_id long, sig binary, paths array<long>, n_shingles long")
 
 
 RUNS = runs_needed()
@@ -120,26 +125,26 @@ WANTED = sorted({c for r in range(RUNS) for level in range(DEPTH) for c in plan(
 
 
 def _buckets(reps: DataFrame) -> DataFrame:
-    """rep, bucket: which representatives meet where. reps: rep, paths (their values at WANTED)."""
+    """rep, n_shingles, bucket: which sets meet where. reps: rep, n_shingles, paths (their values at WANTED)."""
 
     def chosen(level: int, run):
         """Of a run's two coordinates at a level: hashes of the coordinate and the set's value there."""
         at = F.lit([[WANTED.index(c) for c in plan(r, level)] for r in range(RUNS)])
         return F.transform(at[run], lambda c: F.xxhash64(c, F.get(F.col("paths"), c)))
 
-    rows = reps.select("rep", "paths", F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))).alias("run"))
-    rows = rows.select("rep", "paths", "run", F.explode(chosen(0, F.col("run"))).alias("key"))
-    rows = rows.select("rep", "paths", "run", F.xxhash64("run", "key").alias("bucket"))
+    rows = reps.select("rep", "n_shingles", "paths", F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))).alias("run"))
+    rows = rows.select("rep", "n_shingles", "paths", "run", F.explode(chosen(0, F.col("run"))).alias("key"))
+    rows = rows.select("rep", "n_shingles", "paths", "run", F.xxhash64("run", "key").alias("bucket"))
     out = []
     for level in range(DEPTH):
         sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         met = cut(rows.join(sizes, "bucket"))
         last = level == DEPTH - 1
-        out.append(met.filter(F.lit(True) if last else F.col("n") <= SMALL).select("rep", "bucket"))
+        out.append(met.filter(F.lit(True) if last else F.col("n") <= SMALL).select("rep", "n_shingles", "bucket"))
         if last or met.filter(F.col("n") > SMALL).isEmpty():
             break
-        deeper = met.filter(F.col("n") > SMALL).select("rep", "paths", "run", "bucket", F.explode(chosen(level + 1, F.col("run"))).alias("key"))
-        rows = deeper.select("rep", "paths", "run", F.xxhash64("bucket", "key").alias("bucket"))
+        deeper = met.filter(F.col("n") > SMALL).select("rep", "n_shingles", "paths", "run", "bucket", F.explode(chosen(level + 1, F.col("run"))).alias("key"))
+        rows = deeper.select("rep", "n_shingles", "paths", "run", F.xxhash64("bucket", "key").alias("bucket"))
     found = out[0]
     for x in out[1:]:
         found = found.unionByName(x)
@@ -147,12 +152,17 @@ def _buckets(reps: DataFrame) -> DataFrame:
 
 
 def _different(members: DataFrame) -> DataFrame:
-    """rep, bucket, n without the buckets whose members are those of another bucket (told by count and two sums of hashes)."""
+    """rep, bucket, blocks without the buckets whose members are those of another bucket (told by count and two sums of hashes).
+
+    blocks: into how many a bucket too large for one task is laid out; 1: none.
+    """
     sums = members.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("rep") % (1 << 40)).alias("a"), F.sum(F.hash("rep").cast("long") * 31 + F.xxhash64(F.lit(7), "rep") % (1 << 40)).alias("b")
-    )
-    first = sums.filter("n > 1").groupBy("n", "a", "b").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-    return members.join(first, "bucket")
+        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("rep") % (1 << 40)).alias("a"), F.sum(F.hash("rep").cast("long") * 31 + F.xxhash64(F.lit(7), "rep") % (1 << 40)).alias("b"),
+        F.sum("n_shingles").alias("s"),
+    )
+    first = sums.filter("n > 1").groupBy("n", "a", "b").agg(F.min("bucket").alias("bucket"), F.min("s").alias("s"))
+    blocks = F.when((F.col("n") > 4 * BLOCK) | (F.col("s") > 4 * BLOCK_SHINGLES), F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES))).otherwise(1)
+    return members.join(first.select("bucket", blocks.cast("int").alias("blocks")), "bucket")
 
 
 COMPARED = "rep long, other long, links long"
@@ -247,18 +257,13 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id, rep_id, n_links, n_copies for each row of docs.
-
-    class_id: the smallest doc_id of the documents that links connect it with (its own if none); rep_id: the smallest
-    doc_id with the same set of shingles, n_copies: how many rows have it; n_links: other sets linked with its set, at a
-    Jaccard similarity of at least the threshold. Documents without words are linked with nothing: a class of their own.
-    Null ids: rows keep a null class_id if all rows of their set have none. Repeated rows are copies of each other.
-    """
-    rows = cut(_classes(docs))
-    own = rows.filter("sig IS NOT NULL AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.any_value("paths").alias("paths"))
-    copies = rows.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"))
-    members = cut(_different(_buckets(own.select("rep", "paths"))))
+def _near(rows: DataFrame, threshold: float) -> DataFrame:
+    """row, doc_id, root, class_id, rep_id, n_links, n_copies of row (long, unique), doc_id (long), text. root: the class as a number."""
+    found = cut(_classes(rows.select("row", "doc_id", "text")))
+    sets = found.filter("sig IS NOT NULL").groupBy("sig").agg(
+        F.min("row").alias("rep"), F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("n_copies"), F.any_value("paths").alias("paths"), F.max("n_shingles").alias("n_shingles")
+    )
+    members = cut(_different(_buckets(sets.select("rep", "n_shingles", "paths"))))
     lists = members.groupBy("rep").agg(F.collect_list("bucket").alias("buckets"))
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,39 +272,55 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             data = [shingler(x).tobytes() for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"rep": batch.column("rep"), "buckets": batch.column("buckets"), "data": pa.array(data, pa.binary())})
 
-    # one row for a rep, also where rows of docs repeat
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(lists, "rep")
-    sets = texts.mapInArrow(to_sets, "rep long, buckets array<long>, data binary")
-    laid = sets.select("rep", "buckets", "data", F.explode("buckets").alias("bucket"))
-    large = members.filter(F.col("n") > 4 * BLOCK).select("bucket", "n").distinct()
+    texts = rows.select(F.col("row").alias("rep"), "text").join(lists, "rep")
+    laid = texts.mapInArrow(to_sets, "rep long, buckets array<long>, data binary").select("rep", "buckets", "data", F.explode("buckets").alias("bucket"))
+    large = members.filter("blocks > 1").select("bucket", "blocks").distinct()
     laid = laid.join(F.broadcast(large) if large.count() <= 10_000 else large, "bucket", "left")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(F.least(x, block).alias("x"), F.greatest(x, block).alias("y")))
+    block = F.pmod(F.xxhash64("rep"), "blocks").cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, block).alias("x"), F.greatest(x, block).alias("y")))
     laid = laid.select("rep", "buckets", "data", "bucket", F.coalesce(block, F.lit(0)).alias("block"), F.explode_outer(pairs).alias("pair"))
     laid = laid.withColumn("x", F.coalesce("pair.x", F.lit(-1))).withColumn("y", F.coalesce("pair.y", F.lit(-1))).withColumn("pair", F.col("x") != F.col("y"))
-    found = cut(laid.groupBy("bucket", "x", "y").applyInArrow(lambda t: _compare(t, threshold), COMPARED))
-    links = found.filter("other IS NULL").groupBy("rep").agg(F.sum("links").alias("n_links"))
-    roots = components(found.filter("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    classes = copies.join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    classes = classes.select("sig", F.col("rep").alias("rep_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "rep").alias("class_id"))
-    out = rows.select("doc_id", "sig").join(classes, "sig", "left")
+    compared = cut(laid.groupBy("bucket", "x", "y").applyInArrow(lambda t: _compare(t, threshold), COMPARED))
+    links = compared.filter("other IS NULL").groupBy("rep").agg(F.sum("links").alias("n_links"))
+    roots = components(compared.filter("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "rep")
+    linked = cut(sets.select("rep", "rep_id").join(roots, "rep"))
+    least = linked.groupBy("root").agg(F.min("rep_id").alias("class_id"))
+    linked = linked.join(least, "root").select("rep", "root", "class_id")
+    own = sets.select("sig", "rep", "rep_id", "n_copies").join(links, "rep", "left").join(linked, "rep", "left")
+    own = own.select("sig", "rep_id", "n_copies", "n_links", F.coalesce("root", "rep").alias("root"), F.when(F.col("root").isNull(), F.col("rep_id")).otherwise(F.col("class_id")).alias("class_id"))
+    out, none = found.select("row", "doc_id", "sig").join(own, "sig", "left"), F.col("sig").isNull()
     return out.select(
-        "doc_id", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("rep_id")).alias("rep_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
+        "row", "doc_id", F.when(none, F.col("row")).otherwise(F.col("root")).alias("root"), F.when(none, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(none, F.col("doc_id")).otherwise(F.col("rep_id")).alias("rep_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
     )
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """docs with the number of each row, the same as row, doc_id (long), text, and the number's name in the first."""
+    rows, row = row_ids(docs)
+    return rows, rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), row
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id, rep_id, n_links, n_copies for each row of docs.
+
+    class_id: the smallest doc_id of the documents that links connect it with (its own if none); rep_id: the smallest
+    doc_id with the same set of shingles, n_copies: how many rows have it; n_links: other sets linked with its set, at a
+    Jaccard similarity of at least the threshold. Documents without words are linked with nothing: a class of their own.
+    Null ids: class_id is null where all rows of a class have none. Repeated rows are copies of each other; rows that
+    share a doc_id are documents of their own. Other columns of docs are ignored.
+    """
+    return _near(_numbered(docs)[1], threshold).drop("row", "root")
+
+
 def keep_representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row of each class, with all columns: that with the smallest doc_id. Rows are compared as rows, so texts that
-    share a doc_id are documents of their own. Rows with a null id stay."""
-    rows = row_ids(docs)
-    named = rows.filter("doc_id IS NOT NULL")
-    classes = near_duplicates(named.select(F.col("_row").alias("doc_id"), "text"), threshold).select(F.col("doc_id").alias("_row"), "class_id")
-    first = F.min(F.struct("doc_id", "_row")).alias("first")
-    kept = classes.join(named.select("_row", "doc_id"), "_row").groupBy("class_id").agg(first).select(F.col("first._row").alias("_row"))
-    return named.join(kept, "_row", "left_semi").unionByName(rows.filter("doc_id IS NULL")).select(*docs.columns)
+    """One row of each class, with all columns: that with the smallest doc_id (null last), of several the first row.
+
+    Rows are compared as rows, so texts that share a doc_id or have none are documents of their own."""
+    rows, own, row = _numbered(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
+    kept = _near(own, threshold).groupBy("root").agg(first).select(F.col("first.row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*columns(docs))
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callmeter.llm.common import remainder
+from callmeter.llm.common import columns, free, mapped, remainder
 
 DIM = 1024
 #: How sharply the score prefers the nearest prototype.
@@ -30,6 +30,8 @@ SHARPNESS = 25.0
 #: Trigram vectors that a worker keeps, and the texts' trigrams that are bundled at a time.
 KEPT = 16_384
 UNKNOWN = "und"
+#: Characters from which on a text that is near no prototype has no learned language.
+LONG = 200
 
 
 class Profiles(NamedTuple):
@@ -144,38 +146,49 @@ def train(labelled: DataFrame, dim: int = DIM) -> Profiles:
     return Profiles(langs, vectors)
 
 
-def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """All columns of docs with lang_pred, score (0 to 1) and cosine (of the prototype).
+RESULTS = {"lang_pred": "string", "score": "double", "cosine": "double"}
+
+
+def predict(docs: DataFrame, profiles: Profiles, names: list[str] | None = None) -> DataFrame:
+    """All columns of docs with lang_pred, score (0 to 1) and cosine (of the prototype), or with these under other names.
 
     A null text or one without a letter is `und` with score 0, as is every text if no language was learned. Of equally
-    near languages the first by name is taken. Whole texts are read, of any length; rows are independent.
+    near languages the first by name is taken. Whole texts are read, of any length; rows are independent. A column of
+    docs that has the name of a result is replaced by it.
     """
     dim = profiles.vectors.shape[1]
     vectors = profiles.vectors.astype(np.float32)
     langs = profiles.langs
-    names = docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: Iterator[list]) -> Iterator[list]:
         bundler = Bundler(dim)
-        for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                batch = whole.slice(k, 256)
-                grams = [bundler.trigrams(x or "") for x in batch.column("text").to_pylist()]
-                bundle = bundler.bundles(grams)
-                cos = bundle @ vectors.T / np.maximum(np.linalg.norm(bundle, axis=1, keepdims=True), 1e-12)
-                pred, score, near = [UNKNOWN] * len(grams), np.zeros(len(grams)), np.zeros(len(grams))
-                if langs:
-                    e = np.exp(SHARPNESS * (cos - cos.max(axis=1, keepdims=True)).astype(np.float64))
-                    best = cos.argmax(axis=1)
-                    for i, (g, _) in enumerate(grams):
-                        if len(g):
-                            pred[i], score[i], near[i] = langs[best[i]], 1 / e[i].sum(), cos[i, best[i]]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(pred), pa.array(score), pa.array(near)], [*names, "lang_pred", "score", "cosine"]
-                )
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double, cosine double")
+        for some in texts:
+            grams = [bundler.trigrams(x or "") for x in some]
+            bundle = bundler.bundles(grams)
+            cos = bundle @ vectors.T / np.maximum(np.linalg.norm(bundle, axis=1, keepdims=True), 1e-12)
+            pred, score, near = [UNKNOWN] * len(grams), np.zeros(len(grams)), np.zeros(len(grams))
+            if langs:
+                e = np.exp(SHARPNESS * (cos - cos.max(axis=1, keepdims=True)).astype(np.float64))
+                best = cos.argmax(axis=1)
+                for i, (g, _) in enumerate(grams):
+                    if len(g):
+                        pred[i], score[i], near[i] = langs[best[i]], 1 / e[i].sum(), cos[i, best[i]]
+            yield [pred, score, near]
+
+    return mapped(docs, run, dict(zip(names or RESULTS, RESULTS.values(), strict=True)), 256)
+
+
+def has_language(docs: DataFrame, profiles: Profiles) -> DataFrame:
+    """The rows of docs, with all columns, whose text has a learned language.
+
+    Rejected are null texts and those without a letter, and texts of `LONG` characters and more that are no nearer to any
+    prototype than unrelated texts are: the cosine of two random vectors has a standard deviation of 1 / sqrt(dim), and
+    texts below three of them go. Shorter texts say too little and stay. Nothing is rejected by which language it has.
+    """
+    names = free(docs, *RESULTS)
+    least = 3 / profiles.vectors.shape[1] ** 0.5
+    rows = predict(docs, profiles, names).filter((F.col(names[0]) != UNKNOWN) & ((F.char_length("text") < LONG) | (F.col(names[2]) >= least)))
+    return rows.select(*columns(docs))
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:

@@ -18,11 +18,10 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callmeter.llm.common import remainder
+from callmeter.llm.common import mapped, remainder
 
 SAMPLE = 1500
 WINDOW, STEP = 32, 16
@@ -299,19 +298,18 @@ class Scorer:
         return _sigmoid(logits)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs with score (0 to 1). Texts that are null, empty or without a word score the prior."""
-    names = docs.columns
+def predict(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """All columns of docs with score (0 to 1). Texts that are null, empty or without a word score the prior.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Texts are read whole, row by row; a column of docs called as the result is replaced by it.
+    """
+
+    def run(texts: Iterator[list]) -> Iterator[list]:
         scorer = Scorer(model)
-        for whole in batches:
-            for k in range(0, whole.num_rows, 128):
-                batch = whole.slice(k, 128)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scorer.scores(batch.column("text").to_pylist()))], [*names, "score"])
+        for some in texts:
+            yield [scorer.scores(some)]
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, score double")
+    return mapped(docs, run, {name: "double"}, 128)
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:

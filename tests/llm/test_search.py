@@ -108,7 +108,10 @@ def test_jaccard_join(spark, docs):
     assert got == brute_classes(rows)
     assert jaccard_join.near_duplicates(docs).count() == docs.count()
     assert jaccard_join.near_duplicates(docs.filter("doc_id < 0")).count() == 0
-    assert sorted((r["doc_id"] or 0) for r in jaccard_join.keep_representatives(docs).collect()) == [0, 1, 3, 4, 5, 7, 8]
+    assert sorted((r["doc_id"] or 0) for r in jaccard_join.keep_representatives(docs).collect()) == [1, 3, 4, 5, 7, 8]
+    repeated = spark.createDataFrame([(1, texts[0]), (1, texts[0]), (2, texts[1]), (3, texts[1] + " x"), (3, texts[20])], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"], r["n_copies"]) for r in jaccard_join.near_duplicates(repeated).collect())
+    assert got == [(1, 1, 2, 2), (1, 1, 2, 2), (2, 1, 2, 1), (3, 1, 2, 1), (3, 3, 0, 1)]
 
 
 def banded(pattern, text):
@@ -181,4 +184,4 @@ def test_stages_decide_for_rows_not_ids(spark, tmp_path, stored):
     want = lambda drop: sorted((i or 0, t) for k, (i, t) in enumerate(rows) if k not in drop)
     assert left(exact_dedup.keep_one(df)) == want({0, 3})
     assert left(decontaminate.drop_leaks(df, spark.createDataFrame([(0, bench)], "item_id long, text string"))) == want({2, 5})
-    assert left(jaccard_join.keep_representatives(df)) == want({6, 8})
+    assert left(jaccard_join.keep_representatives(df)) == want({0, 2, 6, 8})
