@@ -16,9 +16,8 @@ from callmeter.llm.common import remainder, shared_dir
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects what has no language: null texts and texts without a letter. Short or mixed texts stay."""
-    profiles = lang_id.train(docs.filter(remainder("doc_id", 5) != 0))
-    return lang_id.predict(docs, profiles).filter(f"lang_pred <> '{lang_id.UNKNOWN}'").select(*docs.columns)
+    """Rejects what has no learned language: null texts, texts without a letter, and long ones near no prototype."""
+    return lang_id.has_language(docs, lang_id.train(docs.filter(remainder("doc_id", 5) != 0)))
 
 
 def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
