@@ -38,9 +38,9 @@ def test_bundle_is_the_sum_of_bound_letters():
     assert (b.bundles([grams])[0] == want).all()
 
 
-def brute_scores(rows):
+def brute_scores(rows, share):
     words = [(d, (t or "").encode().lower().split(), zlib.crc32(str(d).encode()) % 10 != 0 if d is not None else False) for d, t in rows]
-    count, follow = Counter(), defaultdict(Counter)
+    count, follow, pair, after = Counter(), defaultdict(Counter), defaultdict(Counter), Counter()
     for _, w, learn in words:
         if learn:
             count.update([*w, None])
@@ -50,44 +50,74 @@ def brute_scores(rows):
                     for n in range(5):
                         follow[laid[k - n : k]][laid[k]] += 1
     total, types = sum(count.values()), len(count)
+    frequent = {x for x, c in count.items() if x is not None and c >= share * total}
+
+    def states(w):
+        h = None
+        for x in [*w, None]:
+            yield h, x
+            h = x if x in frequent else h
+
+    for _, w, learn in words:
+        for h, x in states(w) if learn else ():
+            after[h] += 1
+            if x is None or x in frequent:
+                pair[h][x] += 1
     n1, n2 = (sum(c == k for c in count.values()) for k in (1, 2))
-    d = (n1 + 0.5) / (n1 + 2 * n2 + 1)
+    d, m, d2 = (n1 + 0.5) / (n1 + 2 * n2 + 1), lm_score.M, lm_score.D2
 
     def p(context, byte):
         low = p(context[1:], byte) if context else 1 / 255
-        own = follow.get(context)
-        return (own[byte] + len(own) * low) / (sum(own.values()) + len(own)) if own else low
+        own = follow.get(context, Counter())
+        return (own[byte] + m * low) / (sum(own.values()) + m)
 
     out = []
     for doc, w, learn in words:
         base = score = 0.0
-        for x in [*w, None]:
+        for h, x in states(w):
             base += math.log10((count[x] + 0.1) / (total + 0.1 * (types + 1)))
             laid = b"\xfe" * 4 + (b"\xff" if x is None else x + b" ")
             spelled = math.prod(p(laid[k - 4 : k], laid[k]) for k in range(4, len(laid)))
-            score += math.log10(max(count[x] - d, 0) / total + d * types / total * spelled)
+            read = max(count[x] - d, 0) / total + d * types / total * spelled
+            if h is not None:
+                own = pair[h]
+                read = max(own[x] - d2, 0) / after[h] + (after[h] - sum(own.values()) + d2 * len(own)) / after[h] * read
+            score += math.log10(read)
         out.append((doc, not learn, len(w) + 1, sum(count[x] > 0 for x in [*w, None]), total, base, score))
     return out
 
 
-def test_lm_scores_against_brute_force(spark, docs, tmp_path):
-    docs.filter("doc_id IS NULL OR doc_id <> 5").write.parquet(str(tmp_path / "d"))
-    own = spark.read.parquet(str(tmp_path / "d"))
+@pytest.mark.parametrize("share, block", [(1e-5, 8192), (0.04, 2)])
+def test_lm_scores_against_brute_force(spark, docs, tmp_path, monkeypatch, share, block):
+    monkeypatch.setattr(lm_score, "SHARE", share)
+    monkeypatch.setattr(lm_score, "BLOCK_ROWS", block)
+    more = spark.createDataFrame([(100 + i, prose("en" if i % 2 else "de", 15, i) + f" x{i % 7}") for i in range(30)], "doc_id long, text string")
+    own = docs.filter("doc_id IS NULL OR doc_id <> 5").unionByName(more, allowMissingColumns=True)
+    if share < 1e-3:  # also a frame that is no scan
+        own.repartition(3).write.parquet(str(tmp_path / "d"))
+        own = spark.read.parquet(str(tmp_path / "d"))
     key = lambda r: (str(r[0]), r[5])
-    got, want = sorted(map(tuple, lm_score.score(own).collect()), key=key), sorted(brute_scores([(r["doc_id"], r["text"]) for r in own.collect()]), key=key)
+    got, want = sorted(map(tuple, lm_score.score(own).collect()), key=key), sorted(brute_scores([(r["doc_id"], r["text"]) for r in own.collect()], share), key=key)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert [x for g in got for x in g[5:]] == pytest.approx([x for w in want for x in w[5:]])
 
 
+def test_lm_score_tells_order_and_handles_no_rows(spark, docs):
+    rows = [(i, " ".join(["one two three four five six seven eight"] * 3) if i % 3 else prose("en", 24, i)) for i in range(60)]
+    rows += [(1000, "one two three four five six seven eight"), (1001, "eight three one six two seven five four")]
+    got = {r["doc_id"]: r for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1000]["base_score"] == pytest.approx(got[1001]["base_score"]) and got[1000]["score"] > got[1001]["score"] + 3
+    assert lm_score.score(docs.filter("doc_id < 0")).count() == 0
+    held = [i for i in range(1, 400) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    nothing = lm_score.score(spark.createDataFrame([(i, "a b") for i in held], "doc_id long, text string")).collect()
+    assert {(r["n_tokens"], r["n_known"], r["train_tokens"]) for r in nothing} == {(3, 0, 0)}
+
+
 def test_lanes_do_not_change_scores():
     words = [[b"abc", b"de"] * 900, [b"x"], []]
     laid = lm_score.lay(words)
-    counts = dict((n, (g, c)) for n, g, c in lm_score.shorter(*lm_score.long_grams(laid, np.array([True] * 3))))
-    orders = {}
-    for n, (g, c) in counts.items():
-        _, of = np.unique(g >> 8, return_inverse=True)
-        orders[n] = (g, c, np.bincount(of, weights=c)[of], np.bincount(of)[of])
-    a = lm_score.Automaton(orders)
+    orders = {n: (g, c) for n, g, c in lm_score.shorter(*lm_score.long_grams(laid, np.array([True] * 3)))}
+    a = lm_score.Automaton(orders, 1804, int(laid.size.sum()))
     whole, lane = a.log_probs(laid), lm_score.LANE
     try:
         lm_score.LANE = 7
