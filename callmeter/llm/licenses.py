@@ -28,23 +28,48 @@ from pyspark.sql import functions as F
 UNKNOWN = "unknown"
 #: Usual notices of licence families.
 TEMPLATES = {
-    "AGPL": ["licensed under the gnu affero general public license version 3", "you can redistribute it and or modify it under the terms of the gnu affero general public license"],
-    "Apache-2.0": ["licensed under the apache license version 2 0", "you may not use this file except in compliance with the license"],
-    "BSD": ["released under the bsd license", "redistribution and use in source and binary forms with or without modification are permitted"],
-    "CC-BY": ["licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"],
-    "CC-BY-NC": ["licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 license"],
-    "CC-BY-SA": ["licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 license"],
-    "CC0": ["released under cc0 1 0 universal", "to the extent possible under law the author has waived all copyright"],
-    "GPL": ["this work is licensed under the gnu general public license version 3", "you can redistribute it and or modify it under the terms of the gnu general public license"],
-    "LGPL": ["licensed under the gnu lesser general public license version 2 1", "you can redistribute it and or modify it under the terms of the gnu lesser general public license"],
-    "MIT": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software"],
-    "MPL-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
+    "AGPL": [
+        "licensed under the gnu affero general public license version 3", "you can redistribute it and or modify it under the terms of the gnu affero general public license",
+        "gnu affero general public license version 3 19 november 2007", "spdx license identifier agpl 3 0",
+    ],
+    "Apache-2.0": [
+        "licensed under the apache license version 2 0", "you may not use this file except in compliance with the license", "apache license version 2 0 january 2004",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "spdx license identifier apache 2 0",
+    ],
+    "BSD": [
+        "released under the bsd license", "redistribution and use in source and binary forms with or without modification are permitted",
+        "any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "spdx license identifier bsd 2 clause", "spdx license identifier bsd 3 clause",
+    ],
+    "CC-BY": ["licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license", "spdx license identifier cc by 4 0"],
+    "CC-BY-NC": ["licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 license", "spdx license identifier cc by nc 4 0"],
+    "CC-BY-SA": ["licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 license", "spdx license identifier cc by sa 4 0"],
+    "CC0": ["released under cc0 1 0 universal", "to the extent possible under law the author has waived all copyright", "spdx license identifier cc0 1 0"],
+    "GPL": [
+        "this work is licensed under the gnu general public license version 3", "you can redistribute it and or modify it under the terms of the gnu general public license",
+        "gnu general public license version 3 29 june 2007", "gnu general public license version 2 june 1991", "spdx license identifier gpl 2 0", "spdx license identifier gpl 3 0",
+    ],
+    "ISC": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "spdx license identifier isc"],
+    "LGPL": [
+        "licensed under the gnu lesser general public license version 2 1", "you can redistribute it and or modify it under the terms of the gnu lesser general public license",
+        "gnu lesser general public license version 3 29 june 2007", "spdx license identifier lgpl 2 1", "spdx license identifier lgpl 3 0",
+    ],
+    "MIT": [
+        "released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software",
+        "the software is provided as is without warranty of any kind express or implied", "the mit license mit", "spdx license identifier mit",
+    ],
+    "MPL-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license version 2 0", "spdx license identifier mpl 2 0"],
     "Proprietary": ["all rights reserved", "no part of this work may be reproduced without permission"],
+    "Unlicense": ["this is free and unencumbered software released into the public domain", "spdx license identifier unlicense"],
 }
+#: Templates that begin so differ in their last words only and are confirmed as a whole.
+WHOLE = "spdx license identifier"
 #: Documents whose lines stand for the unknown class in training: those with the smallest crc32 of the id.
 SAMPLE_DOCS = 200
 #: Distinct lines of those documents that training takes: those with the smallest crc32.
 SAMPLE_LINES = 5000
+#: Words of those lines that stand around notices in training, at most.
+FILLER_WORDS = 20_000
 #: Share of a template's bigrams that confirms its family; probability that a family needs.
 CONFIRM, CERTAIN = 0.6, 0.5
 #: A bigram in two of the unknown lines and in this share of them is no feature.
@@ -69,6 +94,11 @@ def bigrams(line: str) -> list[str]:
     return [f"{a} {b}" for a, b in zip(words, words[1:])]
 
 
+def needed(template: str, vocabulary: list[str]) -> float:
+    """How many of a template's bigrams (those that are features) confirm its family."""
+    return len(set(bigrams(template)) & set(vocabulary)) * (1.0 if template.startswith(WHOLE) else CONFIRM)
+
+
 def resembles(line: str) -> bool:
     own = set(bigrams(line))
     return any(len(own & t) >= RESEMBLES * len(t) for t in (set(bigrams(t)) for ts in TEMPLATES.values() for t in ts))
@@ -100,7 +130,7 @@ def fit(unknown_lines: list[str], seed: int = 7) -> Model:
     vocabulary = sorted({g for ts in TEMPLATES.values() for t in ts for g in bigrams(t) if common[g] < max(2, COMMON * len(unknown_lines))})
     rng = np.random.default_rng(seed)
     plain = [x for x in unknown_lines if len(set(bigrams(x)) & set(vocabulary)) < 2]
-    filler = np.array((" ".join(plain).split() or ["of", "the"])[:20_000], dtype=object)
+    filler = np.array((" ".join(plain).split() or ["of", "the"])[:FILLER_WORDS], dtype=object)
     lines, labels = [], []
     for k, family in enumerate(families[:-1]):
         for t in TEMPLATES[family]:
@@ -159,6 +189,8 @@ def _let(value: Column, use) -> Column:
 def scan(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, licenses (array of start, end, family, probability, confirmed, by start) for each row of docs.
 
+    Repeated rows, null ids and other columns change nothing; no rows give no rows.
+
     start, end: code points of the lines in the text, of a wrapped notice from its first to its last line with a bigram
     of the vocabulary. Lines of the unknown class, or of a family below `CERTAIN`, are left out; unconfirmed ones keep
     their family and say so. Null and empty texts have no lines.
@@ -168,8 +200,8 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     vocabulary, names = F.lit(own), F.lit(model.families)
     weights = F.lit([[float(v) for v in row] for row in model.weights[pick] / model.temperature])
     bias = F.lit([float(v) for v in model.bias / model.temperature])
-    sides = [(f, sorted(set(bigrams(t)) & set(own))) for f, ts in sorted(TEMPLATES.items()) for t in ts]
-    templates = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(g).alias("grams")) for f, g in sides if g])
+    sides = [(f, sorted(set(bigrams(t)) & set(own)), needed(t, own)) for f, ts in sorted(TEMPLATES.items()) for t in ts]
+    templates = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(g).alias("grams"), F.lit(n).alias("needed")) for f, g, n in sides if g])
     anchor = _anchor(own)
     split = F.transform(F.split("text", "\n", -1), lambda x: F.regexp_replace(x, _MARK, ""))
     rows = docs.select("doc_id", "text", F.lower("text").rlike(anchor).alias("some"))
@@ -196,7 +228,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
             top = F.array_max(z)
             family = F.element_at(names, F.array_position(z, top).cast("int"))
             prob = F.lit(1.0) / F.aggregate(z, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))
-            held = F.exists(templates, lambda t: (t["family"] == family) & (F.size(F.array_intersect(t["grams"], grams)) >= CONFIRM * F.size(t["grams"])))
+            held = F.exists(templates, lambda t: (t["family"] == family) & (F.size(F.array_intersect(t["grams"], grams)) >= t["needed"]))
             return F.struct(family.alias("family"), prob.alias("probability"), held.alias("confirmed"))
 
         return _let(logits(grams), of)

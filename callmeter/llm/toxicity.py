@@ -6,8 +6,8 @@ are cut into overlapping pieces that are words of their own, so that every trigr
 as toxic as its worst window. Training tells the network only which texts are toxic: the gradient flows through the
 window that is worst at the time. Embeddings start from how much more often toxic texts have a word or a trigram.
 
-Training takes at most `SAMPLE` labelled texts of either class (those with the smallest hash of their id), on the
-driver; the score is set right for the classes' shares among all labelled rows. Scoring runs in the scan, text by text.
+Training takes at most `SAMPLE` labelled texts of either class (those with the smallest hash of their id), and no more
+than `SAMPLE_CHARS` characters, on the driver; the score is set right for the classes' shares among all labelled rows. Scoring runs in the scan, text by text.
 """
 
 from __future__ import annotations
@@ -23,13 +23,16 @@ from pyspark.sql import functions as F
 
 from callmeter.llm.common import mapped, remainder
 
-SAMPLE = 1500
+#: Labelled texts of either class that training takes at most, and characters of all of them.
+SAMPLE, SAMPLE_CHARS = 1500, 50_000_000
 WINDOW, STEP = 32, 16
 #: Characters of a word; pieces of a longer run share two, so each of its trigrams is in one.
 LONGEST = 40
 BUCKETS, EMBED, HIDDEN, ATTEND = 1 << 15, 4, 8, 8
 #: Small samples are gone through more often, until so many steps are made.
 EPOCHS, BATCH, RATE, STEPS = 3, 64, 0.01, 140
+#: Share of the words of a training step whose own embedding is left out, so that the network also learns from their parts.
+UNHEARD = 0.6
 #: Words that a worker knows at a time, and windows that are scored together.
 KNOWN, TOGETHER = 200_000, 4096
 _WORD = re.compile(r"\w+")
@@ -210,12 +213,16 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 5
             used, rows = np.unique(rows, return_inverse=True)
             rows = rows.reshape(mask.shape)
             vectors = _some_vectors(p, lexicon, used)
+            heard = rng.random(len(used)) >= UNHEARD
+            vectors[~heard, :EMBED] = 0
             logits = forward(p, rows, mask, projected={s: vectors @ p["w" + s] + p["b" + s] for s in "fb"})
             order = np.lexsort((logits, text))
             worst = order[np.append(text[order][1:] != text[order][:-1], True)]
             logit, saved = forward(p, vectors[rows[worst]], mask[worst], keep=True)
             g, d_x = backward(p, saved, (_sigmoid(logit) - y[own]) / len(own))
-            g |= _embedding_gradients(p, lexicon, used, rows[worst], d_x * mask[worst][:, :, None])
+            d_x = d_x * mask[worst][:, :, None]
+            d_x[:, :, :EMBED] *= heard[rows[worst]][:, :, None]
+            g |= _embedding_gradients(p, lexicon, used, rows[worst], d_x)
             step += 1
             for name, d in g.items():
                 mean[name] += 0.1 * (d - mean[name])
@@ -255,17 +262,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """
     rows = docs.select("doc_id").distinct().join(labels.filter("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "doc_id")
     of_class = [rows.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
-    ids = of_class[0].unionByName(of_class[1])
-    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
-    few = sorted(found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect(), key=lambda r: r["doc_id"])
+    ids = of_class[0].unionByName(of_class[1]).withColumn("order", F.xxhash64("doc_id"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sizes = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic", "order").agg(F.char_length(F.min("text")).alias("n")).collect()
+    chosen, chars = [], 0
+    for r in sorted(sizes, key=lambda r: (r["order"], r["doc_id"])):
+        if chars + r["n"] <= SAMPLE_CHARS:
+            chosen.append((r["doc_id"], r["toxic"]))
+            chars += r["n"]
+    taken = F.broadcast(docs.sparkSession.createDataFrame(chosen, docs.select("doc_id").schema.add("toxic", "integer")))
+    few = sorted(texts.join(taken, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect(), key=lambda r: r["doc_id"])
     shares = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     zero, one = shares.get(0, 0), shares.get(1, 0)
     prior = float(np.log((one + 0.5) / (zero + 0.5)))
     if not zero or not one:
         return Model({}, prior, 0.0)
     labels = [r["toxic"] for r in few]
-    taken = float(np.log((sum(labels) + 0.5) / (len(labels) - sum(labels) + 0.5)))
-    return Model({k: v.astype(np.float32) for k, v in fit([r["text"] for r in few], labels).items()}, prior, prior - taken)
+    share = float(np.log((sum(labels) + 0.5) / (len(labels) - sum(labels) + 0.5)))
+    return Model({k: v.astype(np.float32) for k, v in fit([r["text"] for r in few], labels).items()}, prior, prior - share)
 
 
 class Scorer:

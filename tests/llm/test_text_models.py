@@ -180,6 +180,52 @@ def test_licenses(spark, docs):
     assert native == pytest.approx(prob.max())
 
 
+def test_short_forms_and_titles(spark):
+    model = licenses.fit([prose("en", 12, i) for i in range(200)])
+    lines = {
+        "// SPDX-License-Identifier: MIT": "MIT", "# SPDX-License-Identifier: GPL-3.0-or-later": "GPL", "SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "SPDX-License-Identifier: CC-BY-SA-4.0": "CC-BY-SA",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007": "GPL", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007": "AGPL", "The MIT License (MIT)": "MIT",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,": "ISC",
+        'The software is provided "as is", without warranty of any kind, express or implied': "MIT", "This is free and unencumbered software released into the public domain.": "Unlicense",
+        "SPDX-License-Identifier: Own-1.0": None, "the license of this software": None,
+    }
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r["doc_id"]: [x["family"] for x in r["licenses"] if x["confirmed"]] for r in licenses.scan(df, model).collect()}
+    assert [got[i] for i in range(len(lines))] == [[x] if x else [] for x in lines.values()]
+
+
+def test_licence_rows_against_brute_force(spark, docs):
+    r = random.Random(6)
+    model = licenses.fit([prose("en", 12, i) for i in range(200)])
+    own = [g for g, w in zip(model.vocabulary, model.weights) if np.abs(w).any()]
+    templates = [(f, t) for f, ts in licenses.TEMPLATES.items() for t in ts]
+
+    def line():
+        words = [w for w in r.choice(templates)[1].split() if r.random() > 0.15]
+        return r.choice([prose("en", 6, r.randrange(999)), " ".join(words), f"{prose('en', 2, r.randrange(999))} {' '.join(words)}", " ".join(words[: len(words) // 2]), ""])
+
+    rows = [(i, "\n\n".join(line() for _ in range(r.randrange(6)))) for i in range(80)]
+
+    def brute(text):
+        out, at = [], 0
+        for x in text.split("\n"):
+            grams = set(licenses.bigrams(x)) & set(own)
+            if grams:
+                z = (model.bias + sum(model.weights[model.vocabulary.index(g)] for g in grams)) / model.temperature
+                p = licenses._softmax(z[None])[0]
+                family = model.families[int(p.argmax())]
+                if family != licenses.UNKNOWN and p.max() >= licenses.CERTAIN:
+                    sure = any(f == family and len(set(licenses.bigrams(t)) & grams) >= licenses.needed(t, own) for f, t in templates if set(licenses.bigrams(t)) & set(own))
+                    out.append((at, at + len(x), family, pytest.approx(p.max()), sure))
+            at += len(x) + 1
+        return out
+
+    got = {x["doc_id"]: [tuple(y) for y in x["licenses"]] for x in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got == {i: brute(t) for i, t in rows}
+    assert sum(map(len, got.values())) > 50
+    assert licenses.scan(docs.filter("doc_id < 0"), model).count() == 0
+
+
 def test_frequent_notices_stay_features(spark):
     footers = ["Released under the MIT License.", "Licensed under CC BY-NC 4.0."]
     plain = [prose("en", 12, i) for i in range(300)]
