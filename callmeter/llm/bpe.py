@@ -27,7 +27,7 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 #: Parts that a worker keeps; then it starts anew.
 CACHE = 250_000
 #: Bytes of texts that are looked up together; a longer text is looked up alone.
-TOGETHER = 1 << 24
+TOGETHER = 1 << 23
 
 
 def _byte_chars() -> list[str]:
@@ -153,7 +153,10 @@ class Encoder:
         return out
 
     def batches(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids of some texts in a row and how many each has, for all texts in their order. A null text has none."""
+        """Ids of some texts in a row and how many each has, for all texts in their order. A null text has none.
+
+        Tasks call forget() when they end: workers stay, and what they keep is missing elsewhere.
+        """
         texts = pc.fill_null(pc.cast(texts, pa.large_string()), "")
         size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         begin = 0
@@ -163,6 +166,9 @@ class Encoder:
             yield self._some(texts.slice(begin, end - begin))
             begin = end
 
+    def forget(self) -> None:
+        self.parts = {}
+
     def _some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         whole = pc.match_substring_regex(texts, _TWO_WHITE)
         cut = pc.split_pattern(pc.replace_substring(pc.if_else(whole, "", texts), "\n", " \n"), " ")

@@ -35,6 +35,7 @@ def encode(docs: DataFrame, path: str, offsets: bool = False) -> DataFrame:
                 both = [enc.offsets(x) for x in ids]
                 out |= {k: pa.array([x[i] for x in both], pa.list_(pa.int32())) for i, k in enumerate(("starts", "ends"))}
             yield pa.RecordBatch.from_pydict(out)
+        enc.forget()
 
     more = ", starts array<int>, ends array<int>" if offsets else ""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -75,6 +76,7 @@ def digests(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
                     out["ids"] = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(flat.astype(np.int32)))
                 yield pa.RecordBatch.from_pydict(out)
                 begin += len(n)
+        enc.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     more = ", ids array<int>" if keep_ids else ""

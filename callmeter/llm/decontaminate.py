@@ -226,14 +226,15 @@ def _search(docs: DataFrame, ids: list[int | None], texts: list[str]) -> DataFra
 
         index = decontaminate._index_of(texts)
         for batch in batches:
-            own, raw = batch.column("doc_id"), batch.column("text").to_pylist()
+            own = batch.column("doc_id")
             rows: list[tuple] = []
-            for begin in range(0, len(raw), 512):
+            for begin in range(0, batch.num_rows, 128):
+                raw = batch.column("text").slice(begin, 128).to_pylist()
                 by_pair: dict[tuple[int, int], list[Hit]] = {}
-                for h in index.search([normal(x) for x in raw[begin : begin + 512]]):
+                for h in index.search([normal(x) for x in raw]):
                     by_pair.setdefault((h.doc, h.item), []).append(h)
                 for (doc, item), hits in sorted(by_pair.items()):
-                    from_ = _origins(raw[begin + doc])
+                    from_ = _origins(raw[doc])
                     a, b = min(h.start for h in hits), max(h.end for h in hits)
                     rows.append((begin + doc, ids[item], from_[a], from_[b - 1] + 1, min(h.edits for h in hits), len({h.start for h in hits})))
             columns = list(zip(*rows, strict=True)) or [[]] * 6

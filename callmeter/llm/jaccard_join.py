@@ -35,7 +35,9 @@ SMALL, DEPTH = 64, 3
 #: Expected sampled coordinates at each split, as a multiple of 1 / threshold.
 BRANCHES = 1
 #: Sets of a block of a bucket too large for one task, and shingles of them on the average.
-BLOCK, BLOCK_SHINGLES = 256, 1 << 21
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 22
+#: Texts that a worker has in its hands at a time.
+TOGETHER = 128
 #: Coordinates of the embedding.
 COORDINATES = 128
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -60,7 +62,7 @@ class Shingler:
         words = (text or "").lower().split()
         if not words:
             return np.zeros(0, np.uint64)
-        if len(self.known) > 400_000:
+        if len(self.known) > 100_000:
             self.known = {}
         known = self.known
         for w in words:
@@ -105,7 +107,7 @@ def _classes(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        for batch in batches:
+        for batch in (x.slice(k, TOGETHER) for x in batches for k in range(0, x.num_rows, TOGETHER)):
             sigs, firsts, sizes = [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingler(text)
@@ -174,33 +176,50 @@ class Holders:
     def __init__(self, lists: list[np.ndarray]):
         self.size = np.array([len(x) for x in lists], np.int64)
         self.ends = np.cumsum(self.size)
-        _, self.of = np.unique(np.concatenate(lists), return_inverse=True)
+        _, of = np.unique(np.concatenate(lists), return_inverse=True)
+        self.of = of.astype(np.int32)
         self.by = np.bincount(self.of)
         self.start = np.cumsum(self.by) - self.by
-        self.holders = np.repeat(np.arange(len(lists)), self.size)[np.argsort(self.of, kind="stable")]
+        self.holders = np.repeat(np.arange(len(lists), dtype=np.int32), self.size)[np.argsort(self.of, kind="stable")]
+        self.mine = np.zeros(len(self.by), bool)
 
-    def shared(self, i: int) -> np.ndarray:
-        """How many numbers each list shares with list i."""
+    def shared(self, i: int, others: np.ndarray) -> np.ndarray:
+        """How many numbers each of the others (places in ascending order) shares with list i.
+
+        Either the holders of the numbers of list i are counted, or the numbers of the others are looked up, whichever is less.
+        """
         mine = self.of[self.ends[i] - self.size[i] : self.ends[i]]
-        mine = mine[self.by[mine] > 1]
         n = self.by[mine]
-        met = self.holders[np.repeat(self.start[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        return np.bincount(met, minlength=len(self.size))
+        if n.sum() <= self.size[others].sum():
+            met = self.holders[np.repeat(self.start[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            return np.bincount(met, minlength=len(self.size))[others]
+        self.mine[mine] = True
+        n = self.size[others]
+        if len(others) == len(self.size):
+            hit = self.mine[self.of]
+        else:
+            hit = self.mine[self.of[np.repeat(self.ends[others] - np.cumsum(n), n) + np.arange(n.sum())]]
+        self.mine[mine] = False
+        sums = np.concatenate([[0], np.cumsum(hit)])
+        ends = np.cumsum(n)
+        return sums[ends] - sums[ends - n]
 
 
 def _links(sets: list[np.ndarray], lists: list[np.ndarray], bucket: int, split: int, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
     """A place in a bucket and the places it is linked with, by pairs that meet in no earlier bucket.
 
-    split: the pairs between the first `split` sets and the others; 0: all pairs.
+    split: the pairs between the first `split` sets and the others; 0: all pairs. Pairs that have met are ruled out first.
     """
     tokens, earlier = Holders(sets), Holders([x[x < bucket] for x in lists])
-    size = tokens.size
+    size, every = tokens.size, np.arange(len(sets))
     for i in range(split or len(sets)):
-        both = tokens.shared(i)
-        j = np.flatnonzero(both >= threshold * (size[i] + size - both) - 1e-9)
-        j = j[j >= split] if split else j[j > i]
+        j = every[split or i + 1 :]
+        j = j[(size[j] >= threshold * size[i] - 1e-9) & (size[i] >= threshold * size[j] - 1e-9)]
+        if len(j):
+            j = j[earlier.shared(i, j) == 0]
         if len(j):
-            j = j[earlier.shared(i)[j] == 0]
+            both = tokens.shared(i, j)
+            j = j[both >= threshold * (size[i] + size[j] - both) - 1e-9]
         if len(j):
             yield i, j
 
@@ -268,7 +287,7 @@ def _near(rows: DataFrame, threshold: float) -> DataFrame:
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        for batch in batches:
+        for batch in (x.slice(k, TOGETHER) for x in batches for k in range(0, x.num_rows, TOGETHER)):
             data = [shingler(x).tobytes() for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"rep": batch.column("rep"), "buckets": batch.column("buckets"), "data": pa.array(data, pa.binary())})
 

@@ -46,6 +46,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
                 data = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(with_end.astype(enc.dtype))])
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(begin, len(n)), "n_tokens": pa.array(n + 1, pa.int64()), "ids": data.cast(pa.binary())})
                 begin += len(n)
+        enc.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
