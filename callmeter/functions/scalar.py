@@ -89,7 +89,8 @@ def project_path(project: Column) -> Column:
 
 def short_project(path: Column, home: str = "") -> Column:
     """Without the home directory, the last three components."""
-    own = F.when(path.startswith(home), F.substring(path, len(home) + 1, 1_000_000)).otherwise(path) if home else path
+    inside = (path == home) | path.startswith(home.rstrip("/") + "/")
+    own = F.when(inside, F.substr(path, F.lit(len(home) + 1))).otherwise(path) if home else path
     parts = F.filter(F.split(own, "/"), lambda x: x != "")
     return F.array_join(F.when(F.size(parts) > 3, F.slice(parts, -3, 3)).otherwise(parts), "/")
 
@@ -107,8 +108,10 @@ STAND_INS = ["amber", "birch", "cedar", "delta", "ember", "fjord", "grove", "hav
 
 
 def pseudonym(project: Column) -> Column:
-    h = F.xxhash64(project)
-    return F.concat(F.element_at(_literals(STAND_INS), (F.pmod(h, F.lit(len(STAND_INS))) + 1).cast("int")), F.lit("-"), F.lower(F.lpad(F.hex(F.pmod(F.shiftrightunsigned(h, 16), F.lit(256))), 2, "0")))
+    """A name that follows from the md5 of the project: one of STAND_INS by its first eight digits, then two more digits."""
+    h = F.md5(project.cast("binary"))
+    n = F.conv(F.substring(h, 1, 8), 16, 10).cast("long")
+    return F.concat(F.element_at(_literals(STAND_INS), (F.pmod(n, F.lit(len(STAND_INS))) + 1).cast("int")), F.lit("-"), F.substring(h, 9, 2))
 
 
 def csv_safe(value: Column) -> Column:
@@ -134,6 +137,11 @@ def format_tokens(n: Column) -> Column:
     return F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1e6)).when(n >= 1000, F.format_string("%.1fK", n / 1e3)).otherwise(n.cast("string"))
 
 
+def format_number(n: Column) -> Column:
+    """A whole number with commas between thousands."""
+    return F.format_number(n, 0)
+
+
 def valid_currency(code: Column) -> Column:
     return code.rlike("^[A-Z]{3}$")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callmeter.functions import fixed
-from callmeter.functions.scalar import MONEY, canonical_model
+from callmeter.functions.scalar import MONEY, canonical_model, currency_symbol
 
 PRICE = "key string, input decimal(18,12), output decimal(18,12), cache_write decimal(18,12), cache_read decimal(18,12), web_search decimal(18,12), fast decimal(9,3)"
 
@@ -45,7 +45,25 @@ def scan_prices(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_rates(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("code string, rate double, symbol string").json(path)
+    """code, rate (of one dollar), symbol (its own or the usual one, else the code). A missing rate is 1, as is that of USD."""
+    return rates(spark.read.schema("code string, rate double, symbol string").json(path))
+
+
+def rates(rows: DataFrame) -> DataFrame:
+    rate = F.when(F.col("code") == "USD", 1.0).otherwise(F.coalesce("rate", F.lit(1.0)))
+    return rows.filter("code IS NOT NULL").select("code", rate.alias("rate"), F.coalesce("symbol", currency_symbol(F.col("code"))).alias("symbol"))
+
+
+def in_currency(df: DataFrame, table: DataFrame, code: str) -> DataFrame:
+    """df with code, rate, symbol of one currency: of its row in table, which reaches the driver, else rate 1 and the usual symbol."""
+    own = table.filter(F.col("code") == code).first()
+    symbol = F.lit(own["symbol"]) if own else currency_symbol(F.lit(code))
+    return df.select("*", F.lit(code).alias("code"), F.lit(own["rate"] if own else 1.0).alias("rate"), symbol.alias("symbol"))
+
+
+def cursor_price_model(model: Column) -> Column:
+    """The model that stands for the editor's default one in prices."""
+    return F.when(model.isin("", "default") | model.isNull(), F.lit("claude-sonnet-4-5")).otherwise(model)
 
 
 def resolve_price(models: DataFrame, prices: DataFrame, fallback: DataFrame) -> DataFrame:
@@ -75,20 +93,24 @@ def call_cost(input_tokens: Column, output_tokens: Column, cache_write: Column,
     return F.coalesce((total.cast(MONEY) * times).cast(MONEY), F.lit(0).cast(MONEY))
 
 
-def with_cost(calls: DataFrame, prices: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
+def with_cost(calls: DataFrame, prices: DataFrame, fallback: DataFrame | None = None, models: DataFrame | None = None) -> DataFrame:
     """Adds cost_usd by provider: codex and opencode bill reasoning as output (codex's input_tokens are without cached ones).
 
-    opencode keeps the logged cost (cost_logged, if there is such a column) where the computed one is 0.
+    cursor's default model has the price of the model that stands for it; opencode keeps the logged cost (cost_logged, if
+    there is such a column) where the computed one is 0. models: column model, all that calls can have; without it calls
+    are evaluated once more for their distinct models. What is broadcast has a row for each model on sale.
     """
     fallback = prices.limit(0) if fallback is None else fallback
-    table = resolve_price(calls.select("model"), prices, fallback)
-    names = [c for c in table.columns if c != "model"]
+    priced = F.when(F.col("provider") == "cursor", cursor_price_model(F.col("model"))).otherwise(F.col("model"))
+    rows = calls.withColumn("_priced", priced)
+    names = rows.select(F.col("_priced").alias("model")) if models is None else models.select("model").union(models.select(cursor_price_model(F.col("model"))))
+    table = resolve_price(names, prices, fallback).withColumnRenamed("model", "_priced")
     c = lambda x: F.coalesce(F.col(x), F.lit(0)) if x in calls.columns else F.lit(0)
     codex, opencode = F.col("provider") == "codex", F.col("provider") == "opencode"
-    rows = calls.join(F.broadcast(table), "model", "left")
+    rows = rows.join(F.broadcast(table), "_priced", "left")
     out = F.when(codex | opencode, c("output_tokens") + c("reasoning_tokens")).otherwise(c("output_tokens"))
     cost = call_cost(c("input_tokens"), out, c("cache_write_tokens"), c("cache_read_tokens"), c("web_search_requests"), F.col("speed"))
     if "cost_logged" in calls.columns:
         logged = F.coalesce(F.col("cost_logged"), F.lit(0)).cast(MONEY)
         cost = F.when(opencode & (cost == 0) & (logged > 0), logged).otherwise(cost)
-    return rows.withColumn("cost_usd", cost).drop(*names)
+    return rows.withColumn("cost_usd", cost).drop(*table.columns)

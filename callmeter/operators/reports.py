@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,12 @@ def period(name: str, as_of: dt.date) -> tuple[str, str]:
     return start.isoformat(), as_of.isoformat()
 
 
+def period_utc(name: str, as_of: dt.date, zone: str = "UTC") -> tuple[str, str]:
+    """First and last second of a period of local days, as the first 19 characters of UTC timestamps."""
+    a, b = (dt.datetime.fromisoformat(f"{d}T{t}").replace(tzinfo=ZoneInfo(zone)).astimezone(dt.timezone.utc) for d, t in zip(period(name, as_of), ("00:00:00", "23:59:59"), strict=True))
+    return a.isoformat()[:19], b.isoformat()[:19]
+
+
 def in_days(calls: DataFrame, start: str, end: str) -> DataFrame:
     return calls.filter(F.col("day").between(start, end))
 
@@ -102,6 +109,15 @@ def status(calls: DataFrame, as_of: dt.date) -> DataFrame:
     return calls.agg(*out)
 
 
+def status_utc(calls: DataFrame, as_of: dt.date, zone: str = "UTC") -> DataFrame:
+    """As status(), by UTC timestamps alone: no day is needed. Timestamps of fewer than 19 characters are in no period."""
+    at, out = F.substring("ts_raw", 1, 19), []
+    for name in ("today", "week", "month"):
+        own = (F.length("ts_raw") >= 19) & at.between(*period_utc(name, as_of, zone))
+        out += [F.coalesce(F.sum(F.when(own, F.col("cost_usd"))), F.lit(0)).alias(f"{name}_cost"), F.count_if(own).alias(f"{name}_calls")]
+    return calls.agg(*out)
+
+
 def file_day_costs(calls: DataFrame) -> DataFrame:
     return calls.groupBy("source_path", F.substring("ts_raw", 1, 10).alias("utc_day")).agg(_cost(), _calls())
 

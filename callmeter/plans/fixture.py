@@ -36,8 +36,9 @@ def raw_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", "user_id", "event_type", ts.alias("ts"), F.floor(F.col("value") * 100).cast("long").alias("c"), F.get_json_object("props", "$.k").cast("long").alias("k"),
         F.concat(F.lit("s"), user.cast("string"), F.lit("-"), F.floor((F.dayofmonth(ts) - 1) / 10).cast("string")).alias("session_id"),
     )
-    own, by_user = Window.partitionBy("session_id").orderBy("event_id"), Window.partitionBy("user_id").orderBy("event_id")
-    ev = ev.withColumn("user_event", F.max(F.when(F.col("event_type") == "view", F.col("event_id"))).over(own)).withColumn("prev", F.lag("event_id").over(by_user))
+    # a session is one user's: both windows share the exchange by user
+    own, by_user = Window.partitionBy("user_id", "session_id").orderBy("event_id"), Window.partitionBy("user_id").orderBy("event_id")
+    ev = ev.withColumn("prev", F.lag("event_id").over(by_user)).withColumn("user_event", F.max(F.when(F.col("event_type") == "view", F.col("event_id"))).over(own))
     k, e = F.col("k"), F.col("event_id")
     tools = F.filter(F.split(_pick(TOOLS, k % 12), ","), lambda t: t != "")
     command = F.when((k % 12).isin(1, 2, 4), _pick(COMMANDS, k % 5)).otherwise("")
@@ -56,7 +57,8 @@ def raw_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deduplicated, priced calls with day."""
-    return with_day(with_cost(dedup_calls(raw_calls(spark, sf_dir)), price_table(spark, PRICES), fallback_prices(spark)))
+    models = spark.createDataFrame([(m,) for m in MODELS], "model string")
+    return with_day(with_cost(dedup_calls(raw_calls(spark, sf_dir)), price_table(spark, PRICES), fallback_prices(spark), models))
 
 
 def _case(values: list[str], n: str) -> str:

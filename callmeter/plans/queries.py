@@ -279,12 +279,28 @@ _RATES = [("EUR", 0.5, "€"), ("JPY", 128.0, "¥"), ("USD", 1.0, "$"), ("XXX",
 @query(f", x AS (SELECT day, CAST(SUM(e8) AS DOUBLE) / 1e8 AS usd FROM c GROUP BY day), r(code, rate, symbol) AS (VALUES {', '.join(f"('{a}', {b}::DOUBLE, '{s}')" for a, b, s in _RATES)}) SELECT day, code, symbol, usd * rate AS cost FROM x CROSS JOIN r")
 def currency_report(spark, sf_dir):
     daily = reports.by_day(calls(spark, sf_dir)).select("day", F.col("cost_usd").cast("double").alias("usd"))
-    rates = F.explode(F.array(*[F.struct(F.lit(a).alias("code"), F.lit(b).alias("rate")) for a, b, _ in _RATES])).alias("r")
-    rows = daily.select("day", "usd", rates)
-    return rows.select("day", F.col("r.code").alias("code"), scalar.currency_symbol(F.col("r.code")).alias("symbol"), (F.col("usd") * F.col("r.rate")).alias("cost"))
+    table = pricing.rates(spark.createDataFrame([(a, b, None) for a, b, _ in _RATES], "code string, rate double, symbol string"))
+    every = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in table.columns]) for r in table.collect()])  # one a currency
+    return daily.select("day", "usd", F.explode(every).alias("r")).select("day", "r.code", "r.symbol", (F.col("usd") * F.col("r.rate")).alias("cost"))
 
 
-@query(None)
+@query(", x AS (SELECT day, CAST(SUM(e8) AS DOUBLE) / 1e8 AS usd FROM c GROUP BY day) SELECT day, code, symbol, floor(usd * rate * 100 + 0.5) / 100 AS cost, 'Cost (' || code || ')' AS header FROM x CROSS JOIN (VALUES ('EUR', 0.5::DOUBLE, '€'), ('CHF', 1.0::DOUBLE, 'CHF'), ('USD', 1.0::DOUBLE, '$')) r(code, rate, symbol)")
+def converted_daily(spark, sf_dir):
+    """Cost of each day in a currency of the table, in one that it lacks, and in dollars, for which its rate does not count."""
+    daily = reports.by_day(calls(spark, sf_dir)).select("day", F.col("cost_usd").cast("double").alias("usd"))
+    table = pricing.rates(spark.createDataFrame([("EUR", 0.5, None), ("USD", 3.0, None)], "code string, rate double, symbol string"))
+    both = None
+    for code in ("EUR", "CHF", "USD"):
+        own = pricing.in_currency(daily, table, code)
+        own = own.select("day", "code", "symbol", scalar.convert_cost(F.col("usd"), F.col("rate")).alias("cost"), F.lit(scalar.cost_header(code)).alias("header"))
+        both = own if both is None else both.unionByName(own)
+    return both
+
+
+_STAND_INS = ", ".join(f"'{x}'" for x in scalar.STAND_INS)
+
+
+@query(f" SELECT DISTINCT project, list_extract([{_STAND_INS}], CAST(CAST('0x' || substr(md5(project), 1, 8) AS BIGINT) % {len(scalar.STAND_INS)} AS INTEGER) + 1) || '-' || substr(md5(project), 9, 2) AS pseudonym FROM f")
 def project_pseudonyms(spark, sf_dir):
     return raw_calls(spark, sf_dir).select("project").distinct().withColumn("pseudonym", scalar.pseudonym(F.col("project")))
 
@@ -346,3 +362,46 @@ def keyword_flags(spark, sf_dir):
 def formatted_daily(spark, sf_dir):
     daily = reports.by_day(calls(spark, sf_dir))
     return daily.select("day", scalar.format_cost(F.col("cost_usd")).alias("shown"), scalar.format_tokens(F.col("input_tokens")).alias("tokens"))
+
+
+@query(f" SELECT model_name, {_COST} FROM (SELECT * REPLACE (regexp_replace(split_part(model, '@', 1), '-[0-9]{{8}}$', '') AS model_name) FROM c) GROUP BY model_name ORDER BY cost_usd DESC, model_name LIMIT 10")
+def model_top(spark, sf_dir):
+    return out(reports.top(reports.by_model(calls(spark, sf_dir)).select("model_name", "cost_usd", "calls"), "cost_usd", "model_name", 10))
+
+
+@query(_status_sql().replace("day BETWEEN", "strftime(ts, '%Y-%m-%dT%H:%M:%S') BETWEEN").replace(" AND '2024-01-30'", " AND '2024-01-30T23:59:59'"))
+def status_utc(spark, sf_dir):
+    return out(reports.status_utc(calls(spark, sf_dir), AS_OF))
+
+
+@query(" SELECT day, format('{:,}', CAST(SUM(input_tokens) AS BIGINT)) AS input_tokens, format('{:,}', COUNT(*)) AS calls FROM c GROUP BY day")
+def formatted_numbers(spark, sf_dir):
+    daily = reports.by_day(calls(spark, sf_dir))
+    return daily.select("day", scalar.format_number(F.col("input_tokens")).alias("input_tokens"), scalar.format_number(F.col("calls")).alias("calls"))
+
+
+@query(" SELECT DISTINCT source_path, replace(regexp_replace(source_path, '^/+', ''), '/', '-') AS sanitized, split_part(source_path, '/', -1) AS base, CASE k % 3 WHEN 0 THEN concat(chr(39), '=', project) WHEN 1 THEN concat(chr(34), project, ',', chr(34), chr(34), 'x', chr(34)) ELSE project END AS safe, k % 3 = 1 AS valid FROM f")
+def text_functions(spark, sf_dir):
+    kind = F.col("k") % 3
+    value = F.when(kind == 0, F.concat(F.lit("="), "project")).when(kind == 1, F.concat("project", F.lit(',"x'))).otherwise(F.col("project"))
+    code = F.when(kind == 1, "EUR").when(kind == 0, "eur").otherwise("EURO")
+    path = F.col("source_path")
+    rows = raw_calls(spark, sf_dir)
+    return rows.select("source_path", scalar.sanitize_project(path).alias("sanitized"), scalar.basename(path).alias("base"), scalar.csv_safe(value).alias("safe"), scalar.valid_currency(code).alias("valid")).distinct()
+
+
+_REAL = ["claude-opus-4-7", "claude-opus-4-20250514", "claude-sonnet-4-5@20250929", "gpt-5.4-mini-x", "gpt-4o", "own-model"]
+_REAL_SQL = "(VALUES ('claude-opus-4-7', 'Opus 4.7', 2500, 500, 6), ('claude-opus-4-20250514', 'Opus 4', 7500, 1500, 1), ('claude-sonnet-4-5@20250929', 'Sonnet 4.5', 1500, 300, 1), ('gpt-5.4-mini-x', 'GPT-5.4 Mini', 160, 40, 1), ('gpt-4o', 'GPT-4o', 1000, 250, 1), ('own-model', 'own-model', 0, 0, 1), ('default', 'default', 1500, 300, 1)) m(model, shown, o, i, fast)"
+_REAL_NAME = " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(_REAL))
+
+
+@query(f", x AS (SELECT * EXCLUDE (model, provider), CASE WHEN line_no % 7 = 6 THEN 'cursor' WHEN line_no % 2 = 0 THEN 'codex' ELSE 'claude' END AS provider, CASE line_no % 7 {_REAL_NAME} ELSE 'default' END AS model FROM f) SELECT provider, model, shown AS short, CAST(SUM((input_tokens * i + output_tokens * o + CASE WHEN provider = 'codex' THEN k * o ELSE 0 END) * CASE WHEN speed = 'fast' THEN fast ELSE 1 END) AS DOUBLE) / 1e8 AS cost_usd FROM x JOIN {_REAL_SQL} USING (model) GROUP BY ALL")
+def real_model_costs(spark, sf_dir):
+    """Costs and names of models on sale by provider: exact, dated, marked, by prefix, unknown, and the editor's default one."""
+    n, name = F.col("line_no") % 7, F.lit("default")
+    for i, m in enumerate(_REAL):
+        name = F.when(n == i, m).otherwise(name)
+    rows = raw_calls(spark, sf_dir).withColumn("model", name).withColumn("provider", F.when(n == 6, "cursor").when(F.col("line_no") % 2 == 0, "codex").otherwise("claude"))
+    rows = rows.select("provider", "model", "input_tokens", "output_tokens", F.when(F.col("provider") == "codex", F.col("k")).otherwise(0).alias("reasoning_tokens"), "speed")
+    priced = pricing.with_cost(rows, pricing.fallback_prices(spark), models=spark.createDataFrame([(m,) for m in [*_REAL, "default"]], "model string"))
+    return out(priced.groupBy("provider", "model", scalar.short_model(F.col("model")).alias("short")).agg(F.sum("cost_usd").alias("cost_usd")))

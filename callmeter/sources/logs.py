@@ -70,6 +70,40 @@ def stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(?:\.jsonl)?$", 1)
 
 
+#: A log of a project, or of a helper of one of its sessions; of nested `projects` folders the last one counts.
+_CLAUDE_LOG = r"^(?:.*/)?projects/([^/]+)/(?:[^/]+/subagents/)?[^/]+[.]jsonl$"
+
+
+def claude_project(path: Column) -> Column:
+    return F.regexp_extract(path, _CLAUDE_LOG, 1)
+
+
+def discover_claude(spark: SparkSession, root: str, depth: int = 8) -> DataFrame:
+    """source_path, project, mtime, size of the logs below root: projects/<project>/*.jsonl and .../*/subagents/*.jsonl.
+
+    `projects` folders may lie up to `depth` folders deep; what is in node_modules or .git is left out.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(root)
+    found = found.select(F.col("_metadata.file_path").alias("source_path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+    below = F.substring_index("source_path", root.split("://", 1)[-1].rstrip("/") + "/", -1)
+    deep = F.size(F.split(F.regexp_extract(below, r"^((?:.*/)?)projects/", 1), "/")) - 1
+    rows = found.withColumn("project", claude_project(F.col("source_path"))).filter((F.col("project") != "") & (deep <= depth) & ~below.rlike(r"(^|/)(node_modules|[.]git)/"))
+    return rows.select("source_path", "project", "mtime", "size")
+
+
+def status_claude(lines: DataFrame) -> DataFrame:
+    """What the status needs of assistant lines, and no content: source_path, line_no, provider, model, tokens, speed, ts_raw, dedup_key."""
+    j = Json()
+    rows = parsed(lines.filter(F.col("value").contains("assistant"))).filter(j("type") == "assistant")
+    use = {"input_tokens": "input_tokens", "output_tokens": "output_tokens", "cache_write_tokens": "cache_creation_input_tokens", "cache_read_tokens": "cache_read_input_tokens", "web_search_requests": "server_tool_use.web_search_requests"}
+    rows = rows.select(
+        "source_path", "line_no", F.lit("claude").alias("provider"), j("message.model").alias("model"), *[F.coalesce(j(f"message.usage.{f}", "bigint"), F.lit(0)).alias(c) for c, f in use.items()],
+        F.when(j("message.usage.speed") == "fast", "fast").otherwise("standard").alias("speed"), F.coalesce(j("timestamp"), F.lit("")).alias("ts_raw"), j("message.id").alias("dedup_key"),
+        F.try_variant_get("v", "$.message.usage", "variant").isNotNull().alias("has_usage"),
+    )
+    return ordered.dedup_calls(rows).filter("model IS NOT NULL AND has_usage").drop("has_usage")
+
+
 def scan_claude(lines: DataFrame) -> DataFrame:
     """Assistant lines with a model and usage; the first line with a message id counts, also if it has no usage."""
     j = Json()
@@ -88,7 +122,7 @@ def scan_claude(lines: DataFrame) -> DataFrame:
     said = ordered.carry_user(F.col("type") == "user", F.col("text"), F.coalesce("ts_raw", F.lit("")), ordered.by_line())
     rows = rows.withColumn("said", said).filter("type = 'assistant'").withColumn("provider", F.lit("claude"))
     rows = ordered.dedup_calls(rows).filter("model IS NOT NULL AND has_usage")
-    return as_calls(rows, project=F.regexp_extract("source_path", "projects/([^/]+)/", 1), session_id=stem(F.col("source_path")), user_message=F.col("said.text"), user_ts=F.col("said.ts"))
+    return as_calls(rows, project=claude_project(F.col("source_path")), session_id=stem(F.col("source_path")), user_message=F.col("said.text"), user_ts=F.col("said.ts"))
 
 
 _USAGE = "input_tokens:bigint,cached_input_tokens:bigint,output_tokens:bigint,reasoning_output_tokens:bigint,total_tokens:bigint"
@@ -237,10 +271,6 @@ def scan_cursor(kv: DataFrame, floor: str) -> DataFrame:
     )
 
 
-def cursor_price_model(model: Column) -> Column:
-    return F.when(model == "default", F.lit("claude-sonnet-4-5")).otherwise(model)
-
-
 def union_providers(calls: list[DataFrame], provider: str = "all") -> DataFrame:
     both = reduce(DataFrame.unionByName, calls)
     return both if provider == "all" else both.filter(F.col("provider") == provider)

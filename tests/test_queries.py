@@ -35,6 +35,11 @@ def test_against_sql(spark, con, name):
     assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
 
 
+def test_usage_reads_events_once(spark):
+    plan = queries.QUERIES["daily_usage"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning") <= 6  # two are over the list of models
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

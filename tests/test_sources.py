@@ -40,10 +40,22 @@ def test_claude(spark, claude):
     got = logs.scan_claude(logs.scan_lines(spark, str(claude / "projects/*/*.jsonl"))).orderBy("source_path", "line_no").collect()
     assert [(r["project"], r["session_id"], r["line_no"], r["dedup_key"], r["user_message"], r["speed"]) for r in got] == [
         ("p1", "s1", 2, "a", "[not json", "standard"), ("p1", "s1", 10, None, "two blocks", "fast"), ("p1", "s1", 11, None, "two blocks", "standard"), ("p2", "s2", 2, "c", "", "standard"),
-    ] or [(r["dedup_key"] or None) for r in got] == ["a", None, None, "c"]
+    ]
     assert got[0]["tools"] == ["Bash", "Edit"] and got[0]["bash_commands"] == ["npm"] and got[3]["web_search_requests"] == 2
 
 
+def test_discovery_and_status(spark, claude):
+    for path in ("projects/p1/s1/subagents/a.jsonl", "desk/deep/projects/p9/x.jsonl", "node_modules/projects/p8/x.jsonl", "projects/p1/s1/other/b.jsonl", "a/b/c/d/e/f/g/h/i/projects/p7/x.jsonl"):
+        write(claude / path, [answer("q" + path, "2024-01-02T00:00:00Z")])
+    found = sorted((r["source_path"].split(str(claude))[1][1:], r["project"]) for r in logs.discover_claude(spark, str(claude)).collect())
+    assert found == [("desk/deep/projects/p9/x.jsonl", "p9"), ("projects/p1/s1.jsonl", "p1"), ("projects/p1/s1/subagents/a.jsonl", "p1"), ("projects/p2/s2.jsonl", "p2")]
+    lines = logs.scan_lines(spark, str(claude / "projects/*/*.jsonl"))
+    rows = reports.status_utc(pricing.with_cost(logs.status_claude(lines), pricing.fallback_prices(spark)), dt.date(2024, 1, 2)).first()
+    assert (rows["today_calls"], rows["week_calls"], rows["month_calls"]) == (1, 4, 4)
+    assert reports.period_utc("today", dt.date(2024, 7, 2), "America/New_York") == ("2024-07-02T04:00:00", "2024-07-03T03:59:59")
+    assert logs.latest_activity(logs.sources(spark, str(claude / "projects/*/*.jsonl"))).first()["latest"] is not None
+
+
 def test_costs_and_turns(spark, claude):
     calls = logs.scan_claude(logs.scan_lines(spark, str(claude / "projects/*/*.jsonl")))
     priced = reports.with_day(pricing.with_cost(calls, pricing.fallback_prices(spark)))
@@ -111,6 +123,8 @@ def test_cursor(spark):
         b(3, type=2, createdAt="2024-02-03", conversationId="c", tokenCount={"inputTokens": 0, "outputTokens": 9}), b(4, type=2, createdAt="2024-02-04", conversationId="c", tokenCount={"inputTokens": 5, "outputTokens": 1}), b(5, type=1, createdAt="2020-01-01", conversationId="c", text="old"), ("other", "{}"),
     ], "key string, value string")
     got = logs.scan_cursor(kv, "2024-01-01").orderBy("line_no").collect()
+    cost = pricing.with_cost(logs.scan_cursor(kv, "2024-01-01"), pricing.fallback_prices(spark)).orderBy("line_no").first()["cost_usd"]
+    assert float(cost) == pytest.approx(5 * 3e-6 + 1 * 15e-6)
     assert [(r["user_message"], r["tools"], r["model"]) for r in got] == [("q1 a1", ["cursor:edit", "lang:py"], "default"), ("", [], "default")]
 
 
@@ -124,6 +138,14 @@ def test_prices(spark, tmp_path):
     assert found == {"m": "m", "new-model-9-x": "new-model-9", "new-model": "new-model-9", "claude-opus-4-9": "claude-opus-4", "gpt-5.4-mini-x": "gpt-5.4-mini"}
 
 
+def test_rates(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"code": "EUR", "rate": 0.5}\n{"code": "USD", "rate": 7}\n{"code": "GBP"}\n{"code": "ABC", "rate": 2, "symbol": "@"}\n')
+    table = pricing.scan_rates(spark, str(tmp_path / "r.json"))
+    assert {tuple(r) for r in table.collect()} == {("EUR", 0.5, "€"), ("USD", 1.0, "$"), ("GBP", 1.0, "£"), ("ABC", 2.0, "@")}
+    one = spark.createDataFrame([(1.239,)], "c double")
+    assert [tuple(pricing.in_currency(one, table, c).first())[1:] for c in ("EUR", "XYZ")] == [("EUR", 0.5, "€"), ("XYZ", 1.0, "XYZ")]
+
+
 def test_incremental_is_the_whole(spark, claude, tmp_path):
     def parse(changed):
         paths = [r["source_path"] for r in changed.collect()]
