@@ -93,7 +93,8 @@ def mapped(docs: DataFrame, run: Callable[[Iterator[list]], Iterator[list]], res
     kinds = StructType([docs.schema[k] for k in places])
     for name, kind in results.items():
         kinds = kinds.add(name, kind)
-    return docs.mapInArrow(batches, kinds)
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # names with dots are not found there
+    return plain.mapInArrow(batches, kinds)
 
 
 def is_scan(df: DataFrame) -> bool:

@@ -185,3 +185,23 @@ def test_stages_decide_for_rows_not_ids(spark, tmp_path, stored):
     assert left(exact_dedup.keep_one(df)) == want({0, 3})
     assert left(decontaminate.drop_leaks(df, spark.createDataFrame([(0, bench)], "item_id long, text string"))) == want({2, 5})
     assert left(jaccard_join.keep_representatives(df)) == want({0, 2, 6, 8})
+
+
+def test_columns_named_as_results_do_no_harm(spark):
+    """Columns called as results or helpers, and texts of a script that no language has been learned of."""
+    from callmeter.llm import lang_id
+
+    text = "the house of the man with the dog that was in the garden and which they have from this " * 4
+    strange = "".join(chr(0x3B1 + i * 7 % 25) + " " * (i % 5 == 4) for i in range(400))
+    rows = [(1, text, "en"), (2, text + "more", "en"), (3, strange, None), (4, "kurz", "de"), (5, None, None), (6, "123", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names = ["score", "cosine", "lang_pred", "_row", "_file", "_at", "_number", "kept_id", "_leak", "row", "root", "rep", "bucket", "a.b"]
+    df = df.selectExpr("*", *[f"'{n}' AS `{n}`" for n in names])
+    profiles = lang_id.train(spark.createDataFrame([("en", text), ("de", "der hund ist in dem garten und das haus ist kurz " * 4)], "lang string, text string"))
+    left = lambda x: sorted(r["doc_id"] for r in x.collect())
+    bench = spark.createDataFrame([(0, strange)], "item_id long, text string")
+    stages = [(lang_id.has_language(df, profiles), [1, 2, 4]), (exact_dedup.keep_one(df), [1, 2, 3, 4, 5, 6]), (jaccard_join.keep_representatives(df), [1, 3, 4, 5, 6]), (decontaminate.drop_leaks(df, bench), [1, 2, 4, 5, 6])]
+    for got, want in stages:
+        assert got.columns == df.columns and left(got) == want
+    predicted = lang_id.predict(df, profiles)
+    assert predicted.columns.count("score") == 1 and {r["score"] > 0.5 for r in predicted.filter("doc_id < 3").collect()} == {True}
