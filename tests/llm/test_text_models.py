@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from callmeter.llm import lang_id, licenses, lm_score, toxicity
@@ -102,6 +103,23 @@ def test_lm_scores_against_brute_force(spark, docs, tmp_path, monkeypatch, share
     assert [x for g in got for x in g[5:]] == pytest.approx([x for w in want for x in w[5:]])
 
 
+def test_model_rows_are_joined_by_block():
+    pair = lambda h, x: lm_score.PAIR + h.to_bytes(4, "big") + x.to_bytes(4, "big")
+    rows = [(7, b"wa", 3, True), (2, b"wa", 3, False), (7, b"\x01a", 0, True), (2, pair(300, 1), 5, True), (7, pair(300, 1), 5, False), (7, pair(300, 2), 4, True), (7, pair(0, 2), 0, True)]
+    names = ["block", "gram", "count", "first"]
+    batches = [pa.RecordBatch.from_pydict({n: pa.array(c, pa.binary() if n == "gram" else None) for n, c in zip(names, zip(*part))}) for part in (rows[:3], rows[3:])]
+    got, states = [], []
+    for r in (r for b in lm_score._packed(iter([*batches, batches[0].slice(0, 0)])) for r in b.to_pylist()):
+        if r["block"] is None:
+            states.append((r["state"], r["arcs"], r["seen"]))
+            continue
+        sizes, counts = np.frombuffer(r["sizes"], np.int32), np.frombuffer(r["counts"], np.int64)
+        ends = np.cumsum(sizes)
+        got += [(r["block"], r["grams"][e - n : e], int(c)) for e, n, c in zip(ends, sizes, counts, strict=True)]
+    assert sorted(got) == sorted(r[:3] for r in rows) and states == [(300, 2, 9)]
+    assert list(lm_score._packed(iter([]))) == []
+
+
 def test_lm_score_tells_order_and_handles_no_rows(spark, docs):
     rows = [(i, " ".join(["one two three four five six seven eight"] * 3) if i % 3 else prose("en", 24, i)) for i in range(60)]
     rows += [(1000, "one two three four five six seven eight"), (1001, "eight three one six two seven five four")]
