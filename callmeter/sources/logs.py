@@ -104,25 +104,32 @@ def status_claude(lines: DataFrame) -> DataFrame:
     return ordered.dedup_calls(rows).filter("model IS NOT NULL AND has_usage").drop("has_usage")
 
 
-def scan_claude(lines: DataFrame) -> DataFrame:
-    """Assistant lines with a model and usage; the first line with a message id counts, also if it has no usage."""
+def claude_lines(lines: DataFrame) -> DataFrame:
+    """Users' and assistants' lines, by themselves: said and said_ts, or the columns of a call; live where they have a model and usage."""
     j = Json()
     rows = parsed(lines.filter(F.col("value").contains('"type":"assistant"') | F.col("value").contains('"type":"user"') | F.col("value").rlike(r'"type"\s*:\s*"(assistant|user)"')))
     blocks = j("message.content", "array<struct<type:string,name:string,input:struct<command:string>>>")
     uses = F.coalesce(F.filter(blocks, lambda b: (b["type"] == "tool_use") & b["name"].isNotNull()), F.array().cast("array<struct<type:string,name:string,input:struct<command:string>>>"))
     shell = F.filter(uses, lambda b: b["name"].isin(*fixed.SHELL_TOOLS) & b["input"]["command"].isNotNull())
-    rows = rows.select(
-        "source_path", "line_no", j("type").alias("type"), j("timestamp").alias("ts_raw"), content_text(j, "message.content", ["text"]).alias("text"), j("message.id").alias("dedup_key"),
+    asks = F.col("type") == "user"
+    return rows.select(
+        "source_path", "line_no", j("type").alias("type"), j("timestamp").alias("ts_raw"), content_text(j, "message.content", ["text"]).alias("said"), j("message.id").alias("dedup_key"),
         j("message.model").alias("model"), j("message.usage.input_tokens", "bigint").alias("input_tokens"), j("message.usage.output_tokens", "bigint").alias("output_tokens"),
         j("message.usage.cache_creation_input_tokens", "bigint").alias("cache_write_tokens"), j("message.usage.cache_read_input_tokens", "bigint").alias("cache_read_tokens"),
         j("message.usage.server_tool_use.web_search_requests", "bigint").alias("web_search_requests"), F.when(j("message.usage.speed") == "fast", "fast").otherwise("standard").alias("speed"),
-        F.try_variant_get("v", "$.message.usage", "variant").isNotNull().alias("has_usage"), F.transform(uses, lambda b: b["name"]).alias("tools"),
+        (j("message.model").isNotNull() & F.try_variant_get("v", "$.message.usage", "variant").isNotNull()).alias("live"), F.transform(uses, lambda b: b["name"]).alias("tools"),
         F.flatten(F.transform(shell, lambda b: shell_commands(b["input"]["command"]))).alias("bash_commands"),
-    ).filter("type IN ('user', 'assistant')")
-    said = ordered.carry_user(F.col("type") == "user", F.col("text"), F.coalesce("ts_raw", F.lit("")), ordered.by_line())
-    rows = rows.withColumn("said", said).filter("type = 'assistant'").withColumn("provider", F.lit("claude"))
-    rows = ordered.dedup_calls(rows).filter("model IS NOT NULL AND has_usage")
-    return as_calls(rows, project=claude_project(F.col("source_path")), session_id=stem(F.col("source_path")), user_message=F.col("said.text"), user_ts=F.col("said.ts"))
+    ).filter("type IN ('user', 'assistant')").select(
+        "*", F.lit("claude").alias("provider"), F.when(asks, F.coalesce("ts_raw", F.lit(""))).alias("said_ts"), claude_project(F.col("source_path")).alias("project"),
+    ).withColumns({"said": F.when(asks, F.col("said")), "emits": ~asks})
+
+
+def scan_claude(lines: DataFrame) -> DataFrame:
+    """Assistant lines with a model and usage; the first line with a message id counts, also if it has no usage."""
+    rows = claude_lines(lines)
+    last = ordered.carry_user(~F.col("emits"), F.col("said"), F.col("said_ts"), ordered.by_line())
+    rows = ordered.dedup_calls(rows.withColumn("last", last).filter("emits")).filter("live")
+    return as_calls(rows, session_id=stem(F.col("source_path")), user_message=F.col("last.text"), user_ts=F.col("last.ts"))
 
 
 _USAGE = "input_tokens:bigint,cached_input_tokens:bigint,output_tokens:bigint,reasoning_output_tokens:bigint,total_tokens:bigint"
@@ -132,62 +139,78 @@ _CODEX = (
 )
 
 
-def scan_codex(lines: DataFrame) -> DataFrame:
-    """token_count events of files whose first line is a session_meta of an originator that starts with codex."""
-    rows = lines.withColumn("e", F.from_json("value", _CODEX, {"mode": "PERMISSIVE"})).filter("e.type IS NOT NULL").drop("value")
-    p, w = F.col("e.payload"), ordered.by_line()
-    first = F.first(F.struct(F.col("e.type").alias("type"), p["originator"].alias("originator"), p["cwd"].alias("cwd")), ignorenulls=True).over(ordered.so_far(w))
-    rows = rows.withColumn("head", first).filter("head.type = 'session_meta' AND lower(head.originator) LIKE 'codex%'")
-    meta = lambda c: F.last(F.when(F.col("e.type") == "session_meta", p[c]), ignorenulls=True).over(ordered.so_far(w))
-    is_count = (F.col("e.type") == "event_msg") & (p["type"] == "token_count") & p["info"].isNotNull()
-    rows = rows.withColumn("session_model", meta("model")).withColumn("session_id", F.coalesce(meta("session_id"), stem(F.col("source_path")))).withColumn("is_count", F.coalesce(is_count, F.lit(False)))
+#: Usage of codex's counts, in the order of its columns.
+_CODEX_USE = {"all_input": "input_tokens", "cached_input_tokens": "cached_input_tokens", "output_tokens": "output_tokens", "reasoning_tokens": "reasoning_output_tokens"}
+
+
+def codex_lines(lines: DataFrame) -> DataFrame:
+    """Lines by themselves: head (whether a file that starts with this line is read), project, session_id, session_model, said, tool, and of
+    a count (is_count) its total, whether the usage is its own, and the usage, or else the running totals of it."""
+    rows = lines.withColumn("e", F.from_json("value", _CODEX, {"mode": "PERMISSIVE"})).filter("e.type IS NOT NULL")
+    p, meta, item = F.col("e.payload"), F.col("e.type") == "session_meta", F.col("e.type") == "response_item"
     total, last = p["info"]["total_token_usage"], p["info"]["last_token_usage"]
-    rows = rows.withColumn("cum", F.coalesce(total["total_tokens"], F.lit(0)))
-    counts = Window.partitionBy("source_path", "is_count").orderBy("line_no")
-    rows = rows.withColumn("live", F.col("is_count") & ~ordered.repeat_suppress(F.col("cum"), counts) & (last.isNotNull() | (F.col("cum") > 0)))
-    recorded = F.col("live") & last.isNull()
-    use = {c: F.when(last.isNotNull(), F.coalesce(last[f], F.lit(0))).otherwise(ordered.cumulative_delta(F.lit(None).cast("long"), F.coalesce(total[f], F.lit(0)), recorded, w)) for c, f in
-           {"all_input": "input_tokens", "cached_input_tokens": "cached_input_tokens", "output_tokens": "output_tokens", "reasoning_tokens": "reasoning_output_tokens"}.items()}
-    rows = rows.withColumns(use)
-    rows = rows.withColumn("emits", F.col("live") & (F.col("all_input") + F.col("cached_input_tokens") + F.col("output_tokens") + F.col("reasoning_tokens") > 0))
-    item = F.col("e.type") == "response_item"
-    rows = ordered.pending_tools(rows, F.when(item & (p["type"] == "function_call"), p["name"]), F.col("emits"))
-    is_user = item & (p["type"] == "message") & (p["role"] == "user")
-    text = F.array_join(F.transform(F.filter(p["content"], lambda b: b["text"].isNotNull()), lambda b: b["text"]), " ")
-    rows = ordered.consume_user(rows, F.coalesce(is_user, F.lit(False)), F.col("emits"), text).filter("emits")
-    ts = F.coalesce("e.timestamp", F.lit(""))
-    info = F.col("e.payload.info")
+    texts = F.transform(F.filter(p["content"], lambda b: (b["type"] == "input_text") & (b["text"] != "")), lambda b: b["text"])
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    return rows.select(
+        "source_path", "line_no", sure(meta & F.lower(p["originator"]).startswith("codex")).alias("head"), sanitize_project(F.coalesce(p["cwd"], F.lit(""))).alias("project"),
+        F.when(meta, p["session_id"]).alias("session_id"), F.when(meta, p["model"]).alias("session_model"), F.coalesce(p["info"]["model"], p["info"]["model_name"]).alias("model"),
+        F.when(item & (p["type"] == "message") & (p["role"] == "user"), F.array_join(texts, " ")).alias("said"), F.when(item & (p["type"] == "function_call"), p["name"]).alias("tool"),
+        sure((F.col("e.type") == "event_msg") & (p["type"] == "token_count") & p["info"].isNotNull()).alias("is_count"), F.coalesce(total["total_tokens"], F.lit(0)).alias("cum"), last.isNotNull().alias("own"),
+        *[F.coalesce(F.when(last.isNotNull(), last[f]).otherwise(total[f]), F.lit(0)).alias(c) for c, f in _CODEX_USE.items()], F.coalesce("e.timestamp", F.lit("")).alias("ts_raw"), F.lit("codex").alias("provider"),
+    )
+
+
+def codex_calls(rows: DataFrame) -> DataFrame:
+    """Calls of counts that have their usage, tools, user_message, session_id, project and session_model."""
     return as_calls(
-        rows, provider=F.lit("codex"), project=sanitize_project(F.coalesce("head.cwd", F.lit(""))), ts_raw=ts, tools=map_tools(F.col("tools"), "codex"),
-        model=F.coalesce(info["model"], info["model_name"], "session_model", F.lit("gpt-5")), input_tokens=F.greatest(F.col("all_input") - F.col("cached_input_tokens"), F.lit(0)),
-        cache_read_tokens=F.col("cached_input_tokens"), dedup_key=F.concat_ws(":", F.lit("codex"), "source_path", ts, F.col("cum").cast("string")),
+        rows, tools=map_tools(F.col("tools"), "codex"), model=F.coalesce("model", "session_model", F.lit("gpt-5")), input_tokens=F.greatest(F.col("all_input") - F.col("cached_input_tokens"), F.lit(0)),
+        cache_read_tokens=F.col("cached_input_tokens"), dedup_key=F.concat_ws(":", F.lit("codex"), "source_path", "ts_raw", F.col("cum").cast("string")),
     )
 
 
-def scan_pi(lines: DataFrame) -> DataFrame:
-    """Assistant messages with all four usage counters, of files whose first line is a session."""
-    j, w = Json(), ordered.by_line()
-    rows = parsed(lines).select("source_path", "line_no", "v", j("type").alias("type"))
-    head = F.first(F.struct("type", j("cwd").alias("cwd"))).over(ordered.so_far(w))
-    session = F.last(F.when(F.col("type") == "session", j("id")), ignorenulls=True).over(ordered.so_far(w))
-    rows = rows.withColumn("head", head).withColumn("session_id", F.coalesce(session, stem(F.col("source_path")))).filter("head.type = 'session'")
-    role = j("message.role")
+def scan_codex(lines: DataFrame) -> DataFrame:
+    """token_count events of files whose first line is a session_meta of an originator that starts with codex."""
+    w = ordered.by_line()
+    rows = codex_lines(lines).withColumn("first", F.first(F.struct("head", "project")).over(ordered.so_far(w))).filter("first.head")
+    latest = lambda c: F.last(c, ignorenulls=True).over(ordered.so_far(w))
+    rows = rows.withColumns({"session_model": latest("session_model"), "session_id": F.coalesce(latest("session_id"), stem(F.col("source_path"))), "project": F.col("first.project")})
+    counts = Window.partitionBy("source_path", "is_count").orderBy("line_no")
+    rows = rows.withColumn("live", F.col("is_count") & ~ordered.repeat_suppress(F.col("cum"), counts) & (F.col("own") | (F.col("cum") > 0)))
+    recorded = F.col("live") & ~F.col("own")
+    rows = rows.withColumns({c: ordered.cumulative_delta(F.when(F.col("own"), F.col(c)), F.col(c), recorded, w) for c in _CODEX_USE})
+    rows = rows.withColumn("emits", F.col("live") & (reduce(lambda a, b: a + b, (F.col(c) for c in _CODEX_USE)) > 0))
+    rows = ordered.pending_tools(rows, F.col("tool"), F.col("emits"))
+    return codex_calls(ordered.consume_user(rows, F.col("said").isNotNull(), F.col("emits"), F.col("said")).filter("emits"))
+
+
+def pi_lines(lines: DataFrame) -> DataFrame:
+    """Lines by themselves: head (whether a file that starts with this line is read), project, session_id, said, and the columns of a call."""
+    j = Json()
     use = {c: j(f"message.usage.{f}", "bigint") for c, f in {"input_tokens": "input", "output_tokens": "output", "cache_read_tokens": "cacheRead", "cache_write_tokens": "cacheWrite"}.items()}
-    rows = rows.withColumns(use).withColumn("role", role)
-    whole = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in use))
-    rows = rows.withColumn("emits", F.coalesce((F.col("role") == "assistant") & whole & ((F.col("input_tokens") > 0) | (F.col("output_tokens") > 0)), F.lit(False)))
-    rows = ordered.consume_user(rows, F.coalesce(F.col("role") == "user", F.lit(False)), F.col("emits"), content_text(j, "message.content", ["text"], plain=False)).filter("emits")
+    whole = reduce(lambda a, b: a & b, (c.isNotNull() for c in use.values()))
     blocks = j("message.content", "array<struct<type:string,name:string,arguments:struct<command:string>>>")
     uses = F.coalesce(F.filter(blocks, lambda b: (b["type"] == "toolCall") & b["name"].isNotNull()), F.array().cast("array<struct<type:string,name:string,arguments:struct<command:string>>>"))
     shell = F.filter(uses, lambda b: (b["name"] == "bash") & b["arguments"]["command"].isNotNull())
     key = F.coalesce(F.nullif(j("message.responseId"), F.lit("")), j("id"), j("timestamp"), (F.col("line_no") - 1).cast("string"))
-    return as_calls(
-        rows, provider=F.lit("pi"), project=basename(F.coalesce("head.cwd", F.regexp_extract("source_path", "([^/]+)/[^/]+$", 1))), model=F.coalesce(j("message.model"), F.lit("gpt-5")),
-        cached_input_tokens=F.col("cache_read_tokens"), tools=map_tools(F.transform(uses, lambda b: b["name"]), "pi"), ts_raw=j("timestamp"),
-        bash_commands=F.flatten(F.transform(shell, lambda b: shell_commands(b["arguments"]["command"]))), dedup_key=F.concat_ws(":", F.lit("pi"), "source_path", key),
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    return parsed(lines).select(
+        "source_path", "line_no", sure(j("type") == "session").alias("head"), basename(F.coalesce(j("cwd"), F.regexp_extract("source_path", "([^/]+)/[^/]+$", 1))).alias("project"),
+        F.when(j("type") == "session", j("id")).alias("session_id"), F.when(j("message.role") == "user", content_text(j, "message.content", ["text"], plain=False)).alias("said"), F.lit("pi").alias("provider"),
+        sure((j("message.role") == "assistant") & whole & ((use["input_tokens"] > 0) | (use["output_tokens"] > 0))).alias("emits"), F.coalesce(j("message.model"), F.lit("gpt-5")).alias("model"),
+        *[c.alias(n) for n, c in use.items()], use["cache_read_tokens"].alias("cached_input_tokens"), map_tools(F.transform(uses, lambda b: b["name"]), "pi").alias("tools"), j("timestamp").alias("ts_raw"),
+        F.flatten(F.transform(shell, lambda b: shell_commands(b["arguments"]["command"]))).alias("bash_commands"), F.concat_ws(":", F.lit("pi"), "source_path", key).alias("dedup_key"),
     )
 
 
+def scan_pi(lines: DataFrame) -> DataFrame:
+    """Assistant messages with all four usage counters, of files whose first line is a session."""
+    w = ordered.by_line()
+    rows = pi_lines(lines).withColumn("first", F.first(F.struct("head", "project")).over(ordered.so_far(w))).filter("first.head")
+    session = F.last("session_id", ignorenulls=True).over(ordered.so_far(w))
+    rows = rows.withColumns({"session_id": F.coalesce(session, stem(F.col("source_path"))), "project": F.col("first.project")})
+    return as_calls(ordered.consume_user(rows, F.col("said").isNotNull(), F.col("emits"), F.col("said")).filter("emits"))
+
+
 def copilot_projects(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """directory, project: the last component of `cwd:` in each workspace.yaml, without comment and quotes."""
     text = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("f"), F.regexp_extract("value", r"(?m)^cwd:[ \t]*([^\r\n]*)", 1).alias("c"))
@@ -195,18 +218,26 @@ def copilot_projects(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return text.select(F.regexp_extract("f", "^(.*)/[^/]+$", 1).alias("directory"), basename(bare).alias("project")).filter("project <> ''")
 
 
+def copilot_lines(lines: DataFrame, projects: DataFrame | None = None) -> DataFrame:
+    """Lines by themselves: model (a change to it), said, and the columns of a call, which emits if a model is known."""
+    j = Json()
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    directory = F.regexp_extract("source_path", "^(.*)/[^/]+$", 1)
+    tools = F.transform(F.filter(F.coalesce(j("data.toolRequests", "array<struct<name:string>>"), F.array().cast("array<struct<name:string>>")), lambda t: t["name"].isNotNull()), lambda t: t["name"])
+    rows = parsed(lines).select(
+        "source_path", "line_no", directory.alias("directory"), basename(directory).alias("session_id"), F.when(j("type") == "session.model_change", F.nullif(j("data.newModel"), F.lit(""))).alias("model"),
+        F.when(j("type") == "user.message", j("data.content")).alias("said"), sure((j("type") == "assistant.message") & (j("data.outputTokens", "bigint") > 0)).alias("emits"),
+        j("data.outputTokens", "bigint").alias("output_tokens"), map_tools(tools, "copilot").alias("tools"), j("timestamp").alias("ts_raw"), F.coalesce(j("data.messageId"), F.lit("")).alias("id"), F.lit("copilot").alias("provider"),
+    )
+    rows = rows.join(projects, "directory", "left") if projects is not None else rows.withColumn("project", F.lit(None).cast("string"))
+    return rows.withColumns({"project": F.coalesce("project", "session_id"), "dedup_key": F.when(F.col("id") != "", F.concat_ws(":", F.lit("copilot"), "session_id", "id")).otherwise("")}).drop("id")
+
+
 def scan_copilot(lines: DataFrame, projects: DataFrame | None = None) -> DataFrame:
     """Assistant messages with output tokens after a model is known; the session is the directory."""
-    j, w = Json(), ordered.by_line()
-    rows = parsed(lines).select("source_path", "line_no", "v", j("type").alias("type"))
-    rows = rows.withColumn("model", ordered.carry_model(F.when(F.col("type") == "session.model_change", j("data.newModel")), w)).withColumn("out", j("data.outputTokens", "bigint"))
-    rows = rows.withColumn("emits", F.coalesce((F.col("type") == "assistant.message") & (F.col("out") > 0) & F.col("model").isNotNull(), F.lit(False)))
-    rows = ordered.consume_user(rows, F.coalesce(F.col("type") == "user.message", F.lit(False)), F.col("emits"), j("data.content")).filter("emits")
-    rows = rows.withColumn("directory", F.regexp_extract("source_path", "^(.*)/[^/]+$", 1)).withColumn("session_id", basename(F.col("directory")))
-    rows = rows.join(projects, "directory", "left") if projects is not None else rows.withColumn("project", F.lit(None).cast("string"))
-    tools = F.transform(F.filter(F.coalesce(j("data.toolRequests", "array<struct<name:string>>"), F.array().cast("array<struct<name:string>>")), lambda t: t["name"].isNotNull()), lambda t: t["name"])
-    key = F.when(F.coalesce(j("data.messageId"), F.lit("")) != "", F.concat_ws(":", F.lit("copilot"), "session_id", j("data.messageId"))).otherwise(F.lit(""))
-    return as_calls(rows, provider=F.lit("copilot"), project=F.coalesce("project", "session_id"), output_tokens=F.col("out"), tools=map_tools(tools, "copilot"), ts_raw=j("timestamp"), dedup_key=key)
+    rows = copilot_lines(lines, projects)
+    rows = rows.withColumn("model", ordered.carry_model(F.col("model"), ordered.by_line())).withColumn("emits", F.col("emits") & F.col("model").isNotNull())
+    return as_calls(ordered.consume_user(rows, F.col("said").isNotNull(), F.col("emits"), F.col("said")).filter("emits"))
 
 
 _MESSAGE = "role string, modelID string, cost double, tokens struct<input:bigint,output:bigint,reasoning:bigint,cache:struct<read:bigint,write:bigint>>"

@@ -1,91 +1,174 @@
-"""Calls from a stream of log chunks, each counted once, and running totals by day.
+"""Calls from a stream of log chunks, each counted once, and running totals by local day.
 
-Chunks are files that do not change once they are there: a row has source_path, line_no and value, so that a log's
-lines keep their place over chunks. What a log carries from line to line (the user's text that waits for the next call)
-is the state of its source, dropped when the source is quiet for `idle`.
+Chunks are files that do not change once they are there: a row has source_path, line_no and value, so that a log's lines
+keep their place over chunks. A line is read by itself with the columns of the batch scans; only what a log carries from
+line to line is state of its source: the user's text, the model, the session, tools since the last call, the last recorded
+totals, and the keys that it has had. A source that is quiet for a time that the caller sets loses its state.
+
+The query needs the RocksDB state store: `configure()` sets it in a session.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from callmeter.functions.scalar import MONEY, local_day
+from callmeter.operators.pricing import with_cost
+from callmeter.sources import logs
 
 LINES = "source_path string, line_no long, value string"
-CALLS = "source_path string, line_no long, model string, input_tokens long, output_tokens long, ts timestamp, dedup_key string, user_message string"
+_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: What a line tells of its log, and what it may be as a call.
+_CARRIES = "head boolean, emits boolean, is_count boolean, own boolean, live boolean, cum long, all_input long, session_model string, said string, said_ts string, tool string"
+_CALL = (
+    "provider string, source_path string, line_no long, project string, session_id string, model string, input_tokens long, output_tokens long, cache_write_tokens long, cache_read_tokens long, "
+    "cached_input_tokens long, reasoning_tokens long, web_search_requests long, speed string, tools array<string>, bash_commands array<string>, ts_raw string, dedup_key string"
+)
+_OUT = f"{_CALL}, user_message string, user_ts string, session_model string, cum long, all_input long"
+_USE = ["all_input", "cached_input_tokens", "output_tokens", "reasoning_tokens"]
+#: By provider: columns of its lines, whether a text goes to one call alone, whether a file is judged by its first line.
+PROVIDERS: dict[str, tuple[Callable[..., DataFrame], bool, bool]] = {
+    "claude": (logs.claude_lines, False, False), "codex": (logs.codex_lines, True, True), "pi": (logs.pi_lines, True, True), "copilot": (logs.copilot_lines, True, False),
+}
+
+
+def configure(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
 
 
 def stream_lines(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
     return spark.readStream.schema(LINES).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
-def _number(x: object) -> int:
-    return x if isinstance(x, int) and not isinstance(x, bool) else 0
-
-
-def _read(value: str) -> tuple[str, dict] | None:
-    """Kind and message of a line; None where it is neither a user's nor an assistant's."""
-    try:
-        entry = json.loads(value)
-    except ValueError:
-        return None
-    message = entry.get("message") if isinstance(entry, dict) else None
-    return (entry["type"], entry) if isinstance(message, dict) and entry.get("type") in ("user", "assistant") else None
-
-
-def _text(message: dict) -> str:
-    content = message.get("content")
-    if isinstance(content, list):
-        return " ".join(b["text"] for b in content if isinstance(b, dict) and b.get("type") == "text" and isinstance(b.get("text"), str))
-    return content if isinstance(content, str) else ""
-
-
-def _calls(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    said = state.get[0] if state.exists else ""
-    rows = []
-    for line in pd.concat(list(chunks)).sort_values("line_no").itertuples():
-        found = _read(line.value)
-        if found is None:
-            continue
-        kind, entry = found
-        message = entry["message"]
-        if kind == "user":
-            said = _text(message) if _text(message).strip() else said
-            continue
-        usage = message.get("usage")
-        if isinstance(usage, dict) and isinstance(message.get("model"), str):
-            ts = pd.to_datetime(entry.get("timestamp"), utc=True, errors="coerce")
-            rows.append((key[0], line.line_no, message["model"], _number(usage.get("input_tokens")), _number(usage.get("output_tokens")), None if pd.isna(ts) else ts.tz_localize(None), message.get("id") or f"{key[0]}:{line.line_no}", said))
-    state.update((said,))
-    state.setTimeoutDuration(24 * 3600 * 1000)
-    yield pd.DataFrame(rows, columns=[c.split()[0] for c in CALLS.split(", ")])
-
-
-def stream_calls(lines: DataFrame) -> DataFrame:
-    """Calls of new lines; a source's pending user text survives from one batch to the next."""
-    kept = StructType([StructField("said", StringType())])
-    out = lines.groupBy("source_path").applyInPandasWithState(_calls, CALLS, kept, "append", GroupStateTimeout.ProcessingTimeTimeout)
-    return out.withColumn("user_message", F.coalesce("user_message", F.lit("")))  # a projection: a shuffle cannot take the batches as they are
+class _Carry(StatefulProcessor):
+    """Takes the new lines of a source in their order through its state. Lines of a source come in their order over batches."""
+
+    def __init__(self, provider: str, quiet_ms: int):
+        self.provider, self.quiet_ms = provider, quiet_ms
+        _, self.consumes, self.judged = PROVIDERS[provider]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.log = handle.getValueState("log", "wanted boolean, project string, session_id string, model string, said string, said_ts string")
+        self.totals = handle.getValueState("totals", "cum long, input long, cached long, output long, reasoning long")
+        self.tools = handle.getListState("tools", "tool string")
+        self.keys = handle.getMapState("keys", "key string", "line long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        wanted, project, session, model, said, said_ts = self.log.get() if self.log.exists() else (None,) * 6
+        cum, *recorded = self.totals.get() if self.totals.exists() else (0,) * 5
+        waiting = [t for (t,) in self.tools.get()] if self.tools.exists() else []
+        out = []
+        for line in pd.concat(list(rows), ignore_index=True).sort_values("line_no", kind="stable").to_dict("records"):
+            if wanted is None:
+                wanted, project = not self.judged or line["head"], line["project"]
+            if not wanted:
+                break
+            session = line["session_id"] or session
+            model = (line["model"] if self.provider == "copilot" else line["session_model"]) or model
+            if line["tool"] is not None:
+                waiting.append(line["tool"])
+            if line["said"] is not None and line["said"].strip():
+                said, said_ts = line["said"], line["said_ts"]
+            emits = line["emits"]
+            if line["is_count"]:
+                emits = (line["cum"] == 0 or line["cum"] != cum) and (line["own"] or line["cum"] > 0)
+                cum = line["cum"]
+                if emits and not line["own"]:
+                    totals = [line[c] for c in _USE]
+                    line |= {c: max(0, now - before) for c, now, before in zip(_USE, totals, recorded, strict=True)}
+                    recorded = totals
+                emits = emits and sum(line[c] for c in _USE) > 0
+                line["tools"] = waiting
+            if not emits or self.provider == "copilot" and not model:
+                continue
+            if self.provider == "claude" and line["dedup_key"]:
+                if self.keys.containsKey((line["dedup_key"],)):
+                    continue
+                self.keys.updateValue((line["dedup_key"],), (line["line_no"],))
+            if not line["live"]:
+                continue
+            names = {"session_id": session, "project": line["project"] if not self.judged else project, "user_message": said or "", "user_ts": said_ts or ""}
+            names |= {"session_model": model} if self.provider == "codex" else {"model": model} if self.provider == "copilot" else {}
+            out.append(line | names)
+            if self.consumes:
+                said, said_ts = None, None
+            if line["is_count"]:
+                waiting = []
+        self.log.update((wanted, project, session, model, said, said_ts))
+        self.totals.update((cum, *recorded))
+        self.tools.put([(t,) for t in waiting]) if waiting else self.tools.clear()
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at if isinstance(at, int) else at[0])
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.quiet_ms)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")], dtype=object)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for state in (self.log, self.totals, self.tools, self.keys):
+            state.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def _columns(rows: DataFrame, kinds: str) -> list[Column]:
+    """Columns of those kinds; what rows lacks has its default, and no number or flag is null."""
+    default = {"long": F.lit(0), "boolean": F.lit(False), "array<string>": F.array()}
+    out = []
+    for c, kind in (x.split() for x in kinds.split(", ")):
+        own = F.col(c) if c in rows.columns else {"live": F.lit(True), "speed": F.lit("standard")}.get(c, F.lit(None))
+        out.append((F.coalesce(own, default[kind]) if kind in default else own).cast(kind).alias(c))
+    return out
+
+
+def stream_calls(lines: DataFrame, provider: str, quiet_seconds: int, projects: DataFrame | None = None) -> DataFrame:
+    """Calls of new lines in all columns of the provider's batch scan: claude, codex, pi or copilot.
+
+    What a source carries survives from one batch to the next and a restart, until it is quiet for quiet_seconds (of
+    processing time); later lines start it anew. Repeated keys within a source are left out here, over sources by
+    stream_dedup(). projects: as for scan_copilot(). The new lines of a source in one batch are one group of a task.
+    """
+    read = PROVIDERS[provider][0]
+    rows = read(lines, projects) if provider == "copilot" else read(lines)
+    rows = rows.select(*_columns(rows, f"{_CALL}, {_CARRIES}"))
+    out = rows.groupBy("source_path").transformWithStateInPandas(_Carry(provider, 1000 * quiet_seconds), _OUT, "append", "processingTime")
+    out = out.withColumn("session_id", F.coalesce("session_id", logs.stem(F.col("source_path"))))
+    return logs.codex_calls(out) if provider == "codex" else logs.as_calls(out)
 
 
 def stream_dedup(calls: DataFrame, late: str = "2 days") -> DataFrame:
-    """First call of a key; keys older than the watermark are forgotten, which bounds the state."""
-    return calls.withWatermark("ts", late).dropDuplicatesWithinWatermark(["dedup_key"])
+    """First call of a provider's key to arrive; keys older than the watermark are forgotten, which bounds the state.
+
+    Calls without a key all stay. A call whose timestamp cannot be read is never late, and its key is forgotten soonest.
+    """
+    own = F.when(F.coalesce("dedup_key", F.lit("")) != "", F.col("dedup_key")).otherwise(F.concat_ws("\n", F.lit(""), "source_path", "line_no"))
+    return calls.withColumn("_key", own).withWatermark("ts", late).dropDuplicatesWithinWatermark(["provider", "_key"]).drop("_key")
+
+
+def stream_cost(calls: DataFrame, prices: DataFrame, fallback: DataFrame | None = None, models: DataFrame | None = None) -> DataFrame:
+    """Adds cost_usd by a stream-static join with the prices of `models` (column model), by default of the names that have a price."""
+    spark = calls.sparkSession
+    if models is None:
+        models = prices.select(F.col("key").alias("model"))
+        models = models if fallback is None else models.union(fallback.select("key"))
+    return with_cost(calls, prices, fallback, spark.createDataFrame(models.distinct().collect(), "model string"))
+
 
+def stream_daily(calls: DataFrame) -> DataFrame:
+    """Running totals of each day in the session's time zone, for output mode update or complete, as the batch's by_day() has them.
 
-def stream_daily(calls: DataFrame, late: str = "2 days") -> DataFrame:
-    """Running totals of each local day, for output mode update or complete."""
-    rows = calls if late is None else calls.withWatermark("ts", late)
-    totals = rows.groupBy(F.window("ts", "1 day")).agg(F.count(F.lit(1)).alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
-    return totals.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "calls", "input_tokens", "output_tokens")
+    The day is that of the call's own timestamp by the zone's clock, so it has 23 or 25 hours where the clock changes.
+    Days are state as long as the query runs: one row a day. calls: with cost_usd, see stream_cost().
+    """
+    return calls.groupBy(local_day(F.col("ts_raw")).alias("day")).agg(
+        F.sum("cost_usd").cast(MONEY).alias("cost_usd"), F.count(F.lit(1)).alias("calls"), *[F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")]
+    )
 
 
 def poll_refresh(df: DataFrame, on_batch, checkpoint: str, seconds: int = 5, once: bool = False):

@@ -199,6 +199,7 @@ def test_null_keys_are_all_kept(spark):
 
 
 def test_streaming(spark, tmp_path):
+    streaming.configure(spark)
     spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else the timeouts of states keep a query for what is there now alive
     lines = [user("first", "2024-01-01T00:00:00Z"), answer("a", "2024-01-01T00:00:01Z"), "{broken"]
     later = [answer("b", "2024-01-01T00:00:02Z"), answer("a", "2024-01-01T00:00:03Z")]
@@ -210,7 +211,7 @@ def test_streaming(spark, tmp_path):
         (src / name).write_text(text)
 
     def run():
-        df = streaming.stream_dedup(streaming.stream_calls(streaming.stream_lines(spark, str(src))))
+        df = streaming.stream_dedup(streaming.stream_calls(streaming.stream_lines(spark, str(src)), "claude", 3600))
         streaming.poll_refresh(df, lambda b, _: got.extend(b.collect()), str(tmp_path / "ck"), once=True).awaitTermination()
 
     chunk("1.json", lines, 1)
