@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callmeter.functions.scalar import cost_header, csv_safe, currency_symbol
 from callmeter.operators import reports
+from callmeter.sources import store
 
 #: Labels of the exported periods. What is called all projects is the 30 days' set.
 EXPORT_PERIODS = {"Today": "today", "7 Days": "week", "30 Days": "30days"}
@@ -68,43 +70,122 @@ def status_json(calls: DataFrame, as_of: dt.date, code: str = "USD", rate: float
     return s.select(F.to_json(F.struct(F.lit(code).alias("currency"), own("today"), own("month"))).alias("value"), currency_symbol(F.lit(code)).alias("symbol"))
 
 
-def save_sessions(calls: DataFrame, read: DataFrame, path: str) -> None:
-    """Stores the daily rollup of the sources in `read` (source_path, mtime, size) and enters them in the ledger.
+_CALL = f"provider string, call_key string, source_path string, line_no long, session_id string, day string, live boolean, cost_usd decimal(28,12), {', '.join(f'{c} long' for c in reports.TOKENS)}"
+_LEDGER = "source_path string, mtime timestamp, size long, part string, part_sources long"
+_DAILY = f"source_path string, session_id string, cost_usd decimal(38,12), calls long, {', '.join(f'{c} long' for c in reports.TOKENS)}, day string"
+_SUMS = ["cost_usd", "calls", *reports.TOKENS]
+#: Parts that calls are stored in, at most; the smallest of more are put together with that of the next load.
+PARTS = 16
 
-    Each save adds a version; load_sessions() takes the newest of a source. Sources without calls are entered too.
-    """
-    version = uuid.uuid4().hex
-    days = reports.session_days(calls).join(read.select("source_path"), "source_path", "left_semi")
-    days.withColumn("version", F.lit(version)).write.mode("append").partitionBy("day").parquet(f"{path}/usage_daily")
-    # entered last: a save that broke off left rows of a version that no ledger names
-    read.select("source_path", "mtime", "size", F.lit(version).alias("version"), F.current_timestamp().alias("saved")).write.mode("append").parquet(f"{path}/ledger")
+
+def _commits(spark: SparkSession, path: str) -> list[str]:
+    """Names of the loads that were completed, the last one at the end."""
+    return [x for x in store.names(spark, f"{path}/commits") if "DONE" in store.names(spark, f"{path}/commits/{x}")]
 
 
 def load_ledger(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.parquet(f"{path}/ledger")
-    return rows.groupBy("source_path").agg(F.max_by(F.struct("mtime", "size", "version"), "saved").alias("s")).select("source_path", "s.*")
+    """source_path, mtime, size, part, part_sources: the sources of the last load that was completed, those without calls too."""
+    done = _commits(spark, path)
+    return spark.read.schema(_LEDGER).parquet(f"{path}/commits/{done[-1]}/ledger") if done else spark.createDataFrame([], _LEDGER)
 
 
 def load_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """The rollup of each source's newest version; a filter on day reads only those folders."""
-    rows = spark.read.option("basePath", f"{path}/usage_daily").schema(
-        "source_path string, session_id string, cost_usd decimal(38,12), calls long, input_tokens long, output_tokens long, cache_read_tokens long, cache_write_tokens long, version string, day string"
-    ).parquet(f"{path}/usage_daily")
-    return rows.join(load_ledger(spark, path).select("source_path", "version"), ["source_path", "version"], "left_semi").drop("version")
+    """The rollup of the last load that was completed: source_path, session_id, day, cost_usd, calls, tokens. A filter on day reads only those folders."""
+    done = _commits(spark, path)
+    return spark.read.schema(_DAILY).parquet(f"{path}/commits/{done[-1]}/usage_daily") if done else spark.createDataFrame([], _DAILY)
+
+
+def _as_stored(calls: DataFrame) -> DataFrame:
+    keyed = F.coalesce("dedup_key", F.lit("")) != ""
+    key = F.when(keyed, F.concat(F.lit("k"), "dedup_key")).otherwise(F.concat_ws(":", F.lit("n"), "source_path", F.col("line_no").cast("string")))
+    own = {"call_key": key, "day": F.when(F.length("ts_raw") >= 10, F.col("day")), "live": F.col("live") if "live" in calls.columns else F.lit(True)}
+    return calls.select(*[own.get(c, F.col(c)).cast(k).alias(c) for c, k in (x.split(" ", 1) for x in _CALL.split(", "))])
+
+
+def _stored(spark: SparkSession, path: str, ledger: DataFrame) -> DataFrame:
+    """The stored calls of the sources of a ledger. The names of its parts, PARTS and one at most, reach the driver."""
+    parts = [r[0] for r in ledger.select("part").distinct().collect()]
+    if not parts:
+        return spark.createDataFrame([], _CALL)
+    rows = spark.read.option("basePath", f"{path}/parts").schema(f"{_CALL}, part string").parquet(*[f"{path}/parts/part={p}" for p in parts])
+    return rows.join(ledger.select("source_path", "part"), ["source_path", "part"], "left_semi").drop("part")
 
 
-def incremental_load(found: DataFrame, parse, path: str) -> DataFrame:
-    """Reads the sources of `found` that the ledger does not have as they are, stores them, and returns the whole rollup.
+def _first_days(rows: DataFrame, sign: int) -> DataFrame:
+    """The rollup of the first call of each key, with that sign."""
+    sums = F.struct("source_path", "session_id", "day", "live", "cost_usd", *reports.TOKENS)
+    first = rows.groupBy("provider", "call_key").agg(F.min_by(sums, F.struct("source_path", "line_no")).alias("c")).select("c.*").filter("live AND day IS NOT NULL")
+    return first.select("source_path", "session_id", (sign * F.col("cost_usd")).cast("decimal(38,12)").alias("cost_usd"), F.lit(sign).cast("long").alias("calls"), *[(sign * F.col(c)).alias(c) for c in reports.TOKENS], "day")
 
-    parse: from changed sources (source_path, mtime, size) to priced calls with day.
+
+def _to_move(same: DataFrame) -> list[str]:
+    """Parts whose sources move to the new part: those that are mostly dead, and the smallest of too many."""
+    parts = sorted(same.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.max("part_sources").alias("of")).collect(), key=lambda r: (r["n"], r["part"]))
+    dead = [r["part"] for r in parts if 2 * r["n"] < r["of"]]
+    rest = [r["part"] for r in parts if r["part"] not in dead]
+    return dead + (rest[: len(rest) - PARTS // 2] if len(rest) > PARTS else [])
+
+
+def save_sessions(found: DataFrame, parse: Callable[[DataFrame], DataFrame], path: str) -> bool:
+    """Brings a store to the sources of `found` (source_path, mtime, size); whether there was anything to do.
+
+    Stored are the calls of each source by itself, narrow, in a few parts; the rollup of the first call of each key over
+    all sources; and the ledger of sources with their part. A load parses the changed sources alone. It finds the keys
+    that they, or the sources that are gone or were rewritten, have or had, and takes from the rollup what their first
+    calls were and adds what they are now, so that any number of loads gives what one whole load gives.
+
+    A load is a folder of its own until its last step, one empty file, which makes it count: one that is killed at any
+    step leaves the one before. Then what neither this nor the load before needs is removed. One load runs at a time.
     """
     spark = found.sparkSession
-    try:
-        ledger = load_ledger(spark, path).select("source_path", "mtime", "size")
-        changed = found.join(ledger, ["source_path", "mtime", "size"], "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        changed = found
-    save_sessions(parse(changed), changed, path)
-    return load_sessions(spark, path)
+    done = _commits(spark, path)
+    name = f"{int(done[-1].split('-')[0]) + 1 if done else 1:08d}-{uuid.uuid4().hex}"
+    at, part = f"{path}/commits/{name}", name
+    found.select("source_path", F.col("mtime").cast("timestamp"), F.col("size").cast("long")).dropDuplicates(["source_path"]).write.parquet(f"{at}/found")
+    found, key = spark.read.parquet(f"{at}/found"), ["source_path", "mtime", "size"]
+    ledger = load_ledger(spark, path)
+    same, stale, changed = ledger.join(found, key, "left_semi"), ledger.join(found, key, "left_anti"), found.join(ledger, key, "left_anti")
+    if done and stale.isEmpty() and changed.isEmpty():
+        store.remove(spark, at)
+        return False
+
+    moved = same.filter(F.col("part").isin(_to_move(same)))
+    _as_stored(parse(changed)).write.parquet(f"{path}/parts/part={part}")
+    new = spark.read.schema(_CALL).parquet(f"{path}/parts/part={part}")
+    old = _stored(spark, path, ledger)
+    touched = new.select("provider", "call_key").union(_stored(spark, path, stale).select("provider", "call_key")).distinct()
+    before = old.join(touched, ["provider", "call_key"], "left_semi")
+    after = before.join(stale.select("source_path"), "source_path", "left_anti").unionByName(new)
+    both = load_sessions(spark, path).unionByName(_first_days(before, -1)).unionByName(_first_days(after, 1))
+    daily = both.groupBy("source_path", "session_id", "day").agg(*[F.sum(c).cast("decimal(38,12)" if c == "cost_usd" else "long").alias(c) for c in _SUMS]).filter("calls <> 0")
+    daily.write.partitionBy("day").parquet(f"{at}/usage_daily")
+
+    _stored(spark, path, moved).write.mode("append").parquet(f"{path}/parts/part={part}")
+    own = changed.unionByName(moved.select(*key))
+    own = own.select(*key, F.lit(part).alias("part"), F.lit(own.count()).cast("long").alias("part_sources"))
+    same.join(moved.select("source_path"), "source_path", "left_anti").unionByName(own).write.parquet(f"{at}/ledger")
+    store.mark(spark, f"{at}/DONE")
+    _clean(spark, path)
+    return True
+
+
+def _clean(spark: SparkSession, path: str) -> None:
+    kept = _commits(spark, path)[-2:]
+    parts = {r[0] for x in kept for r in spark.read.schema(_LEDGER).parquet(f"{path}/commits/{x}/ledger").select("part").distinct().collect()}
+    for x in store.names(spark, f"{path}/commits"):
+        if x not in kept:
+            store.remove(spark, f"{path}/commits/{x}")
+    for x in store.names(spark, f"{path}/parts"):
+        if x.removeprefix("part=") not in parts:
+            store.remove(spark, f"{path}/parts/{x}")
+
+
+def incremental_load(found: DataFrame, parse: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
+    """The rollup of the sources that are found now, from a store at `path` that is brought up to date: see save_sessions().
+
+    parse: from changed sources (source_path, mtime, size) to the priced calls, with day, of each source by itself: a key
+    once a source, but also where another source has it. A row whose column live is false takes its key and counts for
+    nothing. Sources that are no longer found drop out; where nothing has changed, nothing is parsed or written.
+    """
+    save_sessions(found, parse, path)
+    return load_sessions(found.sparkSession, path)

@@ -72,13 +72,14 @@ def cumulative_delta(last: Column, total: Column, records: Column, w: WindowSpec
 def dedup_calls(calls: DataFrame) -> DataFrame:
     """First call of a key by (source_path, line_no), over all files of a provider. Null and empty keys are all kept.
 
-    A row without a key has a window of its own, so that such rows never gather in one task.
+    A row without a key has a window of its own, so that such rows never gather in one task. That only the first row of a
+    window is asked for lets Spark leave out a task's repeated keys before the rows are shuffled.
     """
     keyed = F.coalesce(F.col("dedup_key"), F.lit("")) != ""
     own = F.when(keyed, F.struct(F.col("dedup_key").alias("key"), F.lit("").alias("path"), F.lit(-1).cast("long").alias("line")))
     own = own.otherwise(F.struct(F.lit("").alias("key"), F.col("source_path").alias("path"), F.col("line_no").cast("long").alias("line")))
     first = Window.partitionBy("provider", own).orderBy("source_path", "line_no")
-    return calls.withColumn("_n", F.row_number().over(first)).filter((F.col("_n") == 1) | ~keyed).drop("_n")
+    return calls.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
 def with_turns(calls: DataFrame) -> DataFrame:

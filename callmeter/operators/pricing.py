@@ -66,21 +66,26 @@ def cursor_price_model(model: Column) -> Column:
     return F.when(model.isin("", "default") | model.isNull(), F.lit("claude-sonnet-4-5")).otherwise(model)
 
 
+def _prefixes(name: str) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.length(name)), lambda n: F.substr(F.col(name), F.lit(1), n))
+
+
 def resolve_price(models: DataFrame, prices: DataFrame, fallback: DataFrame) -> DataFrame:
     """model and its price row for the distinct models of `models`; unmatched models are left out.
 
     In order: exact in prices, exact in fallback, a fallback key with a hyphen after it as prefix, prices by prefix
-    either way, a fallback key as prefix. Of several keys the longest, then the first by name. Only distinct models meet
-    the price tables, which have a row for each model that is sold.
+    either way, a fallback key as prefix. Of several keys the longest, then the first by name. A key that begins a name is
+    found by the name's prefixes, a name that begins a key by the key's: joins on equal strings, of the distinct names and
+    of the price tables, which have a row for each model that is sold.
     """
-    names = models.select("model", canonical_model(F.col("model")).alias("name")).distinct()
+    names = models.select("model", canonical_model(F.col("model")).alias("name")).distinct().filter("name IS NOT NULL")
     table = prices.withColumn("own", F.lit(True)).unionByName(fallback.withColumn("own", F.lit(False)))
-    exact, key_of, of_key = F.col("name") == F.col("key"), F.col("name").startswith(F.col("key")), F.col("key").startswith(F.col("name"))
-    tier = (
-        F.when(F.col("own") & exact, 1).when(~F.col("own") & exact, 2).when(~F.col("own") & F.col("name").startswith(F.concat("key", F.lit("-"))), 3)
-        .when(F.col("own") & (key_of | of_key) & (F.col("name") != ""), 4).when(~F.col("own") & key_of, 5)
-    )
-    met = names.join(F.broadcast(table), (key_of | of_key) & F.col("name").isNotNull()).withColumn("tier", tier).filter("tier IS NOT NULL")
+    begun = names.select("*", F.explode(_prefixes("name")).alias("key")).join(table, "key")
+    longer = table.filter("own").select("*", F.explode(_prefixes("key")).alias("name")).filter("name <> '' AND name <> key").join(names, "name")
+    met = begun.unionByName(longer)
+    exact, hyphen = F.col("name") == F.col("key"), F.col("name").startswith(F.concat("key", F.lit("-")))
+    tier = F.when(F.col("own") & exact, 1).when(~F.col("own") & exact, 2).when(~F.col("own") & hyphen, 3).when(F.col("own") & (F.col("name") != ""), 4).when(~F.col("own"), 5)
+    met = met.withColumn("tier", tier).filter("tier IS NOT NULL")
     best = F.min_by(F.struct(*table.columns), F.struct("tier", -F.length("key"), "key")).alias("p")
     return met.groupBy("model").agg(best).select("model", "p.key", "p.input", "p.output", "p.cache_write", "p.cache_read", "p.web_search", "p.fast")
 

@@ -23,25 +23,33 @@ CALL_COLUMNS = [
 _COUNTERS = [c for c in CALL_COLUMNS if c.endswith("_tokens")] + ["web_search_requests"]
 
 
-def as_calls(df: DataFrame, **columns: Column) -> DataFrame:
-    """df in the columns of calls; those not given and not in df have their default."""
+def as_calls(df: DataFrame, also: list[str] | None = None, **columns: Column) -> DataFrame:
+    """df in the columns of calls; those not given and not in df have their default. also: further columns of df that stay."""
     default = {c: F.lit(0).cast("long") for c in _COUNTERS} | {c: F.lit("") for c in ("project", "user_message", "user_ts", "ts_raw", "dedup_key")}
     default |= {"speed": F.lit("standard"), "tools": F.array().cast("array<string>"), "bash_commands": F.array().cast("array<string>"), "cost_logged": F.lit(None).cast("double")}
     have = {c: F.col(c) for c in df.columns}
-    rows = df.select(*[(columns | {k: v for k, v in have.items() if k not in columns}).get(c, default.get(c, F.lit(None))).alias(c) for c in CALL_COLUMNS if c != "ts"])
+    rows = df.select(*[(columns | {k: v for k, v in have.items() if k not in columns}).get(c, default.get(c, F.lit(None))).alias(c) for c in CALL_COLUMNS if c != "ts"], *(also or []))
     rows = rows.withColumns({c: F.coalesce(F.col(c).cast("long"), F.lit(0)) for c in _COUNTERS} | {c: F.coalesce(c, F.lit("")) for c in ("user_message", "user_ts", "ts_raw")})
-    return rows.withColumn("ts", instant(F.col("ts_raw"))).select(*CALL_COLUMNS)
+    return rows.withColumn("ts", instant(F.col("ts_raw"))).select(*CALL_COLUMNS, *(also or []))
 
 
 def scan_lines(spark: SparkSession, paths: str | list[str], modified_after: str | None = None) -> DataFrame:
-    """source_path, line_no (from 1), value of the lines of text files that are not blank."""
+    """source_path, line_no (from 1), value of the lines of text files that are not blank.
+
+    Lines are counted by split of a file; a running sum over the splits, not the lines, says with which number a split
+    begins. A file of many splits is numbered by as many tasks, and no line moves for it where the splits' table is small
+    enough for Spark to broadcast. The files are read twice, and must not change between.
+    """
     reader = spark.read.option("recursiveFileLookup", "false")
     reader = reader.option("modifiedAfter", modified_after) if modified_after else reader
     rows = reader.text(paths).select(
         F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"), "value"
     )
-    w = Window.partitionBy("source_path").orderBy("_b", "_i")
-    return rows.withColumn("line_no", F.row_number().over(w).cast("long")).filter("trim(value) <> ''").select("source_path", "line_no", "value")
+    splits = rows.groupBy("source_path", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("source_path").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = splits.select("source_path", "_b", (before - F.col("_first") + 1).alias("_start"))
+    numbered = rows.filter("trim(value) <> ''").join(starts, ["source_path", "_b"])
+    return numbered.select("source_path", (F.col("_start") + F.col("_i")).alias("line_no"), "value")
 
 
 class Json:
@@ -124,12 +132,17 @@ def claude_lines(lines: DataFrame) -> DataFrame:
     ).withColumns({"said": F.when(asks, F.col("said")), "emits": ~asks})
 
 
-def scan_claude(lines: DataFrame) -> DataFrame:
-    """Assistant lines with a model and usage; the first line with a message id counts, also if it has no usage."""
+def claude_candidates(lines: DataFrame) -> DataFrame:
+    """Each assistant line in the columns of calls, and live: it has a model and usage. One that has not still takes its message id."""
     rows = claude_lines(lines)
     last = ordered.carry_user(~F.col("emits"), F.col("said"), F.col("said_ts"), ordered.by_line())
-    rows = ordered.dedup_calls(rows.withColumn("last", last).filter("emits")).filter("live")
-    return as_calls(rows, session_id=stem(F.col("source_path")), user_message=F.col("last.text"), user_ts=F.col("last.ts"))
+    rows = rows.withColumn("last", last).filter("emits")
+    return as_calls(rows, also=["live"], session_id=stem(F.col("source_path")), user_message=F.col("last.text"), user_ts=F.col("last.ts"))
+
+
+def scan_claude(lines: DataFrame) -> DataFrame:
+    """Assistant lines with a model and usage; the first line with a message id counts, also if it has no usage."""
+    return ordered.dedup_calls(claude_candidates(lines)).filter("live").drop("live")
 
 
 _USAGE = "input_tokens:bigint,cached_input_tokens:bigint,output_tokens:bigint,reasoning_output_tokens:bigint,total_tokens:bigint"
@@ -255,7 +268,8 @@ def scan_opencode(session: DataFrame, message: DataFrame, part: DataFrame) -> Da
     wanted = discover_opencode(session)
     parts = part.join(wanted.select("session_id"), "session_id", "left_semi").select("session_id", "message_id", "id", F.from_json("data", _PART).alias("p"))
     parts = parts.groupBy("session_id", "message_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "p"))), lambda x: x["p"]).alias("parts"))
-    rows = message.join(wanted, "session_id").withColumn("m", F.from_json("data", _MESSAGE)).filter("m.role IN ('user', 'assistant')")
+    likely = message.filter(F.col("data").contains("assistant") | F.col("data").contains("user"))  # before the parse; roles are compared after it
+    rows = likely.join(wanted, "session_id").withColumn("m", F.from_json("data", _MESSAGE)).filter("m.role IN ('user', 'assistant')")
     rows = rows.join(parts, (rows["session_id"] == parts["session_id"]) & (rows["id"] == parts["message_id"]), "left").select(rows["session_id"], "project", "id", "time_created", "m", "parts")
     w = Window.partitionBy("session_id").orderBy("time_created", "id")
     parts_ = F.coalesce("parts", F.array().cast(f"array<struct<{_PART.replace(' string', ':string').replace('state struct', 'state:struct').replace(', ', ',')}>>"))

@@ -1,5 +1,7 @@
 import datetime as dt
 import json
+import random
+import re
 
 import pytest
 
@@ -146,24 +148,6 @@ def test_rates(spark, tmp_path):
     assert [tuple(pricing.in_currency(one, table, c).first())[1:] for c in ("EUR", "XYZ")] == [("EUR", 0.5, "€"), ("XYZ", 1.0, "XYZ")]
 
 
-def test_incremental_is_the_whole(spark, claude, tmp_path):
-    def parse(changed):
-        paths = [r["source_path"] for r in changed.collect()]
-        if not paths:
-            return reports.with_day(pricing.with_cost(logs.scan_claude(logs.scan_lines(spark, str(claude / "projects/*/*.jsonl"))).limit(0), pricing.fallback_prices(spark)))
-        return reports.with_day(pricing.with_cost(logs.scan_claude(logs.scan_lines(spark, paths)), pricing.fallback_prices(spark)))
-
-    at = str(tmp_path / "store")
-    found = lambda: logs.sources(spark, str(claude / "projects/*/*.jsonl"))
-    first = incremental.incremental_load(found(), parse, at).count()
-    assert first == 2
-    again = incremental.incremental_load(found(), parse, at)
-    assert again.count() == first
-    write(claude / "projects/p2/s2.jsonl", [answer("z", "2024-01-03T00:00:00Z")])
-    rows = incremental.incremental_load(found(), parse, at).filter("source_path LIKE '%s2%'").collect()
-    assert [(r["day"], r["calls"]) for r in rows] == [("2024-01-03", 1)]
-
-
 def test_exports(spark, claude, tmp_path):
     calls = reports.with_day(pricing.with_cost(logs.scan_claude(logs.scan_lines(spark, str(claude / "projects/*/*.jsonl"))), pricing.fallback_prices(spark))).cache()
     day = dt.date(2024, 1, 2)
@@ -219,3 +203,52 @@ def test_streaming(spark, tmp_path):
     chunk("2.json", later, 4)
     run()
     assert sorted((r["dedup_key"], r["user_message"]) for r in got) == [("a", "first"), ("b", "first")]
+
+
+def test_lines_are_numbered_by_split(spark, tmp_path):
+    r = random.Random(3)
+    whole = {}
+    for i in range(5):
+        lines = [r.choice(["", " ", "x" * r.randrange(200), "é" * r.randrange(30)]) for _ in range((0, 1, 300, 900, 400)[i])]
+        (tmp_path / f"{i}.jsonl").write_bytes("\n".join(lines).encode())
+        whole |= {(f"{i}.jsonl", n): x for n, x in enumerate(lines, 1) if x.strip(" ")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        rows = logs.scan_lines(spark, str(tmp_path / "*.jsonl"))
+        assert {(x["source_path"].rsplit("/", 1)[1], x["line_no"]): x["value"] for x in rows.collect()} == whole
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Window") == 1 and "Window [sum(_n" in plan  # over splits
+        assert rows.rdd.getNumPartitions() > 15
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_prices_by_prefix(spark):
+    """Against every name compared with every key."""
+    r = random.Random(4)
+    name = lambda: "-".join(r.choice(["a", "b", "ab", "1"]) for _ in range(r.randrange(4)))
+    tables = [{name(): ("0.1", "0.2", "0", "0", 1) for _ in range(25)} for _ in range(2)]
+    models = sorted({name() + r.choice(["", "", "x", "@v", "-20250101"]) for _ in range(300)})
+    own, other = (pricing.price_table(spark, t) for t in tables)
+    table = pricing.resolve_price(spark.createDataFrame([(m,) for m in [*models, None]], "model string"), own, other)
+
+    def brute(model):
+        n = re.sub("-[0-9]{8}$", "", model.split("@")[0])
+        tiers = [
+            [k for k in tables[0] if k == n], [k for k in tables[1] if k == n], [k for k in tables[1] if n.startswith(k + "-")],
+            [k for k in tables[0] if n and (n.startswith(k) or k.startswith(n))], [k for k in tables[1] if n.startswith(k)],
+        ]
+        return next((min(t, key=lambda k: (-len(k), k)) for t in tiers if t), None)
+
+    assert {x["model"]: x["key"] for x in table.collect()} == {m: brute(m) for m in models if brute(m) is not None}
+    assert "NestedLoop" not in table._jdf.queryExecution().executedPlan().toString()
+
+
+def test_repeated_keys_go_before_the_shuffle(spark, tmp_path):
+    spark.range(0, 4000, 1, 1).selectExpr("'claude' AS provider", "'s' AS source_path", "id AS line_no", "concat('k', id % 5) AS dedup_key", "repeat('x', 50) AS text").write.parquet(str(tmp_path / "calls"))
+    rows = ordered.dedup_calls(spark.read.parquet(str(tmp_path / "calls")))
+    assert sorted(x["line_no"] for x in rows.collect()) == [0, 1, 2, 3, 4]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and plan.rindex("WindowGroupLimit") > plan.index("Exchange")
