@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
 from collections.abc import Callable
 
@@ -50,17 +51,27 @@ def export_csv(calls: DataFrame, as_of: dt.date, path: str, code: str = "USD", r
         df.select(line.alias("value")).write.text(f"{path}/{name}/rows")
 
 
-def export_json(calls: DataFrame, as_of: dt.date, generated: str) -> DataFrame:
-    """One row, one JSON document: generated, periods by label, all projects of 30 days; values are strings.
+def export_json(calls: DataFrame, as_of: dt.date, generated: str, path: str) -> None:
+    """One JSON document in files: generated, periods by label, all projects of 30 days by falling cost; values are strings.
 
-    One document is one row, which a task holds with a few values for each project; export_csv() writes them as rows.
+    Folders header, projects (sorted over all its files, one project a line) and footer hold it in parts that as many
+    tasks write as the projects take; `manifest` lists the files in their order, with their bytes. The document is what
+    they hold one after the other.
     """
-    s = export_summary(calls, as_of)
+    spark = calls.sparkSession
     text = lambda c: F.col(c).cast("string").alias(c)
-    periods = s.agg(F.map_from_entries(F.collect_list(F.struct("period", F.struct(F.struct(text("cost_usd"), text("calls"), text("sessions")).alias("summary"))))).alias("periods"))
-    projects = reports.by_project(reports.in_days(calls, *reports.period("30days", as_of)))
-    listed = projects.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("cost_usd")).alias("o"), "project", "calls", "sessions", "cost_usd"))), lambda x: F.struct(x["project"].alias("project"), x["cost_usd"].cast("string").alias("cost_usd"), x["calls"].cast("string").alias("calls"), x["sessions"].cast("string").alias("sessions"))).alias("projects"))
-    return periods.join(F.broadcast(listed)).select(F.to_json(F.struct(F.lit(generated).alias("generated"), "periods", "projects")).alias("value"))
+    summary = F.struct(F.struct(text("cost_usd"), text("calls"), text("sessions")).alias("summary"))
+    periods = export_summary(calls, as_of).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("period", summary)))).alias("p"))
+    head = F.concat(F.lit(f'{{"generated":{json.dumps(generated)},"periods":'), "p", F.lit(',"projects":['))
+    periods.select(head.alias("value")).coalesce(1).write.text(f"{path}/header")
+    projects = reports.by_project(reports.in_days(calls, *reports.period("30days", as_of))).orderBy(F.desc("cost_usd"), "project")
+    first = projects.first()
+    comma = F.when(F.col("project").eqNullSafe(F.lit(first["project"] if first else None)), "").otherwise(",")
+    line = F.to_json(F.struct(text("project"), text("cost_usd"), text("calls"), text("sessions")))
+    projects.select(F.concat(comma, line).alias("value")).write.text(f"{path}/projects")
+    spark.range(1).select(F.lit("]}").alias("value")).coalesce(1).write.text(f"{path}/footer")
+    files = [(i, f"{part}/{name}", size) for i, (part, name, size) in enumerate((p, n, z) for p in ("header", "projects", "footer") for n, z in store.sizes(spark, f"{path}/{p}"))]
+    spark.createDataFrame(files, "place int, file string, bytes long").coalesce(1).write.json(f"{path}/manifest")
 
 
 def status_json(calls: DataFrame, as_of: dt.date, code: str = "USD", rate: float = 1.0) -> DataFrame:

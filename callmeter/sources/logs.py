@@ -33,6 +33,12 @@ def as_calls(df: DataFrame, also: list[str] | None = None, **columns: Column) ->
     return rows.withColumn("ts", instant(F.col("ts_raw"))).select(*CALL_COLUMNS, *(also or []))
 
 
+def scan_found(found: DataFrame) -> DataFrame:
+    """The lines of the files of `found` (source_path) alone. Their paths reach the driver, which lists what it reads anyway."""
+    paths = [r[0] for r in found.select("source_path").collect()]
+    return scan_lines(found.sparkSession, paths) if paths else found.sparkSession.createDataFrame([], "source_path string, line_no long, value string")
+
+
 def scan_lines(spark: SparkSession, paths: str | list[str], modified_after: str | None = None) -> DataFrame:
     """source_path, line_no (from 1), value of the lines of text files that are not blank.
 

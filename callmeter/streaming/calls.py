@@ -171,7 +171,7 @@ def stream_daily(calls: DataFrame) -> DataFrame:
     )
 
 
-def poll_refresh(df: DataFrame, on_batch, checkpoint: str, seconds: int = 5, once: bool = False):
+def each_batch(df: DataFrame, on_batch, checkpoint: str, seconds: int = 5, once: bool = False):
     """Starts a query that hands each batch to on_batch; every `seconds` (1 at least), or for what is there now."""
     writer = df.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{max(1, seconds)} seconds")).start()

@@ -153,16 +153,34 @@ def test_exports(spark, claude, tmp_path):
     day = dt.date(2024, 1, 2)
     incremental.export_csv(calls, day, str(tmp_path / "csv"))
     assert {r["value"] for r in spark.read.text(str(tmp_path / "csv/summary/rows")).collect()} >= {"Today,0.02,1,1"}
-    whole = json.loads(incremental.export_json(calls, day, "now").first()["value"])
+    incremental.export_json(calls, day, 'n"ow', str(tmp_path / "json"))
+    whole = joined(tmp_path / "json")
+    assert whole["generated"] == 'n"ow'
+    incremental.export_json(calls.limit(0), day, "now", str(tmp_path / "none"))
+    assert joined(tmp_path / "none")["projects"] == []
     assert whole["periods"]["7 Days"]["summary"]["calls"] == "4" and {p["project"] for p in whole["projects"]} == {"p1", "p2"}
     assert json.loads(incremental.status_json(calls, day).first()["value"])["month"]["calls"] == 4
 
 
-def test_export_json_lists_all_projects(spark):
-    rows = [("s", f"x{i}", f"p{i}", "2024-01-02", i) for i in range(1_203)]
-    calls = spark.createDataFrame(rows, "source_path string, session_id string, project string, day string, cost_usd int").selectExpr("* EXCEPT (cost_usd)", "CAST(cost_usd AS decimal(38,12)) AS cost_usd")
-    listed = json.loads(incremental.export_json(calls, dt.date(2024, 1, 2), "now").first()["value"])["projects"]
-    assert [p["project"] for p in listed] == [f"p{i}" for i in reversed(range(1_203))]
+def joined(folder):
+    """The document that the files of the manifest are one after the other."""
+    names = sorted((json.loads(x) for f in (folder / "manifest").glob("part-*") for x in f.read_text().splitlines()), key=lambda x: x["place"])
+    assert all((folder / x["file"]).stat().st_size == x["bytes"] for x in names)
+    return json.loads("".join((folder / x["file"]).read_text() for x in names))
+
+
+def test_export_json_is_written_by_many_tasks(spark, tmp_path):
+    n = 100_000
+    calls = spark.range(n).selectExpr("'s' AS source_path", "concat('x', id) AS session_id", "concat('p\"', id) AS project", "'2024-01-02' AS day", "CAST(id % 1000 AS decimal(28,12)) AS cost_usd")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        incremental.export_json(calls, dt.date(2024, 1, 2), "now", str(tmp_path / "json"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    listed = [p["project"] for p in joined(tmp_path / "json")["projects"]]
+    assert listed == sorted((f'p"{i}' for i in range(n)), key=lambda p: (-(int(p[2:]) % 1000), p))
+    parts = [len(f.read_text().splitlines()) for f in (tmp_path / "json/projects").glob("part-*")]
+    assert len(parts) == 4 and max(parts) < n / 2  # as many as the shuffle has; ranges of the order
 
 
 def test_retries(spark):
@@ -196,7 +214,7 @@ def test_streaming(spark, tmp_path):
 
     def run():
         df = streaming.stream_dedup(streaming.stream_calls(streaming.stream_lines(spark, str(src)), "claude", 3600))
-        streaming.poll_refresh(df, lambda b, _: got.extend(b.collect()), str(tmp_path / "ck"), once=True).awaitTermination()
+        streaming.each_batch(df, lambda b, _: got.extend(b.collect()), str(tmp_path / "ck"), once=True).awaitTermination()
 
     chunk("1.json", lines, 1)
     run()

@@ -110,7 +110,7 @@ def test_stream_is_the_batch(spark, tmp_path, provider):
                 (tmp_path / f"now/{k:03d}.json").write_text((tmp_path / f"in/{k:03d}.json").read_text())
         df = streaming.stream_calls(streaming.stream_lines(spark, str(tmp_path / "now"), 1), provider, 3600, projects)
         assert df.columns == want.columns == logs.CALL_COLUMNS
-        streaming.poll_refresh(df, lambda b, _: got.extend(b.collect()), str(tmp_path / "ck"), once=True).awaitTermination()
+        streaming.each_batch(df, lambda b, _: got.extend(b.collect()), str(tmp_path / "ck"), once=True).awaitTermination()
     assert plain(got) == plain(want.collect()) and got
 
 
@@ -144,5 +144,5 @@ def test_quiet_sources_lose_their_state(spark, tmp_path):
         if k:
             (tmp_path / "in/9.json").write_text(json.dumps({"source_path": "other", "line_no": 1, "value": first[0]}))
         df = streaming.stream_calls(streaming.stream_lines(spark, str(tmp_path / "in"), 1), "claude", 3600)
-        streaming.poll_refresh(df, lambda b, _: got.extend(b.collect()), str(tmp_path / "ck"), once=True).awaitTermination()
+        streaming.each_batch(df, lambda b, _: got.extend(b.collect()), str(tmp_path / "ck"), once=True).awaitTermination()
     assert [r["user_message"] for r in got] == ["old"]
