@@ -6,7 +6,9 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from callmeter.plans import queries
+from callmeter.plans import log_queries, queries
+
+SQL = queries.SQL | log_queries.SQL
 
 DATA = "/root/testdata/sf0.001"
 
@@ -27,10 +29,10 @@ def rows(columns, values):
     return sorted([plain(v[i]) for i in order] for v in values)
 
 
-@pytest.mark.parametrize("name", sorted(queries.SQL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_against_sql(spark, con, name):
-    got = queries.QUERIES[name](spark, DATA)
-    want = con.sql(queries.SQL[name])
+    got = (queries.QUERIES | log_queries.QUERIES)[name](spark, DATA)
+    want = con.sql(SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
 
