@@ -50,42 +50,6 @@ _LATIN = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
 _ONE, _MARKED, _PLAIN = f"^ ?{_LATIN}+$", f"^ ?{_LATIN}+[.,;:!?]$", f"^ ?[^{_WHITE}]+$"
 
 
-def _byte_chars() -> list[str]:
-    """The character of each byte: printable Latin-1 bytes stand for themselves, the others follow from U+0100."""
-    same = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = (b for b in range(256) if b not in same)
-    return [chr(x) for _, x in sorted([(b, b) for b in same] + [(b, 0x100 + k) for k, b in enumerate(rest)])]
-
-
-BYTE_CHARS = _byte_chars()
-#: No UTF-8 has this byte; between pieces it stands for a newline.
-_BETWEEN = b"\xff"
-_TO_CHARS = {b: ord(c) for b, c in enumerate(BYTE_CHARS)} | {0xFF: 0x0A}
-_TO_BYTES = {c: b for b, c in enumerate(BYTE_CHARS)}
-#: A space after white space (as the split pattern knows it, and some more), for Arrow.
-_SPACE_AFTER_WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\p{Z}] "
-#: Strings that can share a call of the pattern: one space may come first, and there is no other white space.
-_PLAIN = r"^ ?[^\x09-\x0D\x1C-\x20\x{85}\p{Z}]+$"
-
-
-def _byte_chars() -> list[str]:
-    """The character of each byte: printable Latin-1 bytes stand for themselves, the others follow from U+0100."""
-    same = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = (b for b in range(256) if b not in same)
-    return [chr(x) for _, x in sorted([(b, b) for b in same] + [(b, 0x100 + k) for k, b in enumerate(rest)])]
-
-
-BYTE_CHARS = _byte_chars()
-#: No UTF-8 has this byte; between pieces it stands for a newline.
-_BETWEEN = b"\xff"
-_TO_CHARS = {b: ord(c) for b, c in enumerate(BYTE_CHARS)} | {0xFF: 0x0A}
-_TO_BYTES = {c: b for b, c in enumerate(BYTE_CHARS)}
-#: A space after white space (as the split pattern knows it, and some more), for Arrow.
-_SPACE_AFTER_WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\p{Z}] "
-#: Parts with white space, or empty ones, are split by themselves.
-_ODD_PART = r"^$|[\x09-\x0D\x1C-\x20\x{85}\p{Z}]"
-
-
 def _list(x: pa.Array) -> list:
     """As to_pylist(), for arrays without nulls, but faster."""
     return x.to_numpy(zero_copy_only=False).tolist()

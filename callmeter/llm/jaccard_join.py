@@ -32,8 +32,6 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 #: Sets in a bucket that is not split further, and how often a bucket is split.
 SMALL, DEPTH = 64, 3
-#: Expected sampled coordinates at each split, as a multiple of 1 / threshold.
-BRANCHES = 1
 #: Sets of a block of a bucket too large for one task, and shingles of them on the average.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 22
 #: Texts that a worker has in its hands at a time.

@@ -69,7 +69,10 @@ def token_counts(tokens: DataFrame, path: str) -> np.ndarray:
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> None:
-    """Writes the files of docs (doc_id, text) to a new folder. Rows with one id stay together; a null id comes first."""
+    """Writes the files of docs (doc_id, text) to a new folder. Rows with one id follow each other, also over files; a null id comes first.
+
+    doc_id must cast to long. No rows give files without blocks; other columns are ignored.
+    """
     spark = docs.sparkSession
     tokens = written(tokenize(docs, tokenizer, end_id), "tokens")
     counts = token_counts(tokens, tokenizer)
@@ -105,7 +108,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, bloc
             yield block()
 
     kinds = "file_no int, block_no int, start long, n_tokens long, doc_ids array<long>, lens array<long>, payload binary"
-    ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", "ids")
+    placed = tokens.withColumn("place", F.monotonically_increasing_id())  # parts the rows that share an id, or have none
+    ordered = placed.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place")
     ordered.mapInArrow(run, kinds).write.option("compression", "none").parquet(f"{path}/blocks")
     spark.createDataFrame([(int(i), int(counts[i])) for i in np.flatnonzero(counts)], "id int, n long").coalesce(1).write.parquet(f"{path}/frequencies")
     sizes = spark.read.parquet(f"{path}/blocks").groupBy("file_no").agg(F.sum("n_tokens").alias("n")).orderBy("file_no").collect()

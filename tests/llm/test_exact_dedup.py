@@ -34,3 +34,12 @@ def test_keep_one_and_no_rows(docs):
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 5, 7, 8]
     assert exact_dedup.exact_dedup(docs.filter("doc_id < 0")).count() == 0
+
+
+def test_blocks_are_cut_in_one_pass(spark):
+    """The blocks of a long text of two-byte characters, and time that grows no faster than the text does."""
+    text = F.repeat(F.lit("é1😀 中x"), 50_000)
+    whole = spark.range(1).select(F.regexp_replace(text, exact_dedup.WHITE, "").alias("norm"))
+    blocks = whole.select("norm", exact_dedup._blocks(4096).alias("b")).first()
+    assert "".join(blocks["b"]) == blocks["norm"] and [len(x) for x in blocks["b"][:-1]] == [4096] * (len(blocks["b"]) - 1)
+    assert "substr" not in exact_dedup._blocks(4096)._jc.toString()

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import itertools
 import zlib
 
 import numpy as np
@@ -101,3 +102,19 @@ def test_no_rows(spark, docs, tmp_path):
     assert bpe_codec.digests(none, MULTI).count() == 0
     token_files.write(none, str(tmp_path / "t"), JSON)
     assert token_files.read(spark, str(tmp_path / "t")).count() == 0
+
+
+def test_rows_without_an_id_are_dealt_to_many_files(spark, tmp_path):
+    rows = [(None if i % 3 == 0 else i, f"text {i % 7}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_files.write(df, str(tmp_path / "files"), public_tokenizers.path(token_files.TOKENIZER))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    blocks = spark.read.parquet(str(tmp_path / "files/blocks")).selectExpr("file_no", "exists(doc_ids, x -> x IS NULL) AS none").filter("none").distinct()
+    assert blocks.count() > 1
+    got = token_files.read(spark, str(tmp_path / "files"), ids=True).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i))
+    assert sorted(str((r["doc_id"], r["ids"])) for r in got) == sorted(str((r["doc_id"], r["ids"])) for r in token_files.read(spark, str(tmp_path / "files"), ids=True).collect())
+    assert [r["start"] for r in got] == [0, *itertools.accumulate(r["n_tokens"] for r in got)][:-1]
