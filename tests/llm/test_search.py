@@ -125,11 +125,12 @@ def banded(pattern, text):
     return min(row)
 
 
-def test_passages(spark, docs):
+def test_passages(spark, docs, monkeypatch):
     r = random.Random(2)
     letters = "abcdefghijklmnop "
     make = lambda n: "".join(r.choice(letters) for _ in range(n)).strip() or "a"
-    bench = [make(90 + 20 * i) for i in range(8)] + ["tiny", None, ""]
+    prompt = make(100)  # of three items
+    bench = [make(90 + 20 * i) for i in range(5)] + [prompt + " " + make(40 * i) for i in range(3)] + ["tiny", None, ""]
     texts = []
     for i in range(40):
         b = list(decontaminate.normal(bench[i % 8]))
@@ -138,12 +139,16 @@ def test_passages(spark, docs):
             b[p : p + r.randrange(2)] = r.choice(["", "x", "qq"])
         texts.append(make(50) + " " + "".join(b) + " " + make(50))
     index = decontaminate.Index(bench)
-    got = {(h.doc, h.item) for h in index.search([decontaminate.normal(t) for t in texts])}
+    found = lambda: {(h.doc, item) for h in index.search([decontaminate.normal(t) for t in texts]) for item in index.items[h.window]}
+    got = found()
     want = {
-        (d, int(index.item[w])) for d, t in enumerate(texts) for w in range(len(index.windows))
+        (d, item) for d, t in enumerate(texts) for w in range(len(index.windows)) for item in index.items[w]
         if w not in index.short and banded("".join(map(chr, index.windows[w])), decontaminate.normal(t)) <= index.edits[w]
     }
     assert got == want
+    for name, value in (("POSTINGS", 50), ("BANDS", 3)):  # q-grams and bands in many parts
+        monkeypatch.setattr(decontaminate, name, value)
+    assert found() == want
     a = spark.createDataFrame(list(enumerate(texts)) + [(100, None), (101, ""), (102, "a tiny thing")], "doc_id long, text string")
     b = spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")
     rows = {(x["doc_id"], x["item_id"]) for x in decontaminate.passages(a, b).collect()}
