@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from callmeter.llm import bpe
+from callmeter.llm.common import give_back
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -36,6 +37,7 @@ def encode(docs: DataFrame, path: str, offsets: bool = False) -> DataFrame:
                 out |= {k: pa.array([x[i] for x in both], pa.list_(pa.int32())) for i, k in enumerate(("starts", "ends"))}
             yield pa.RecordBatch.from_pydict(out)
         enc.forget()
+        give_back()
 
     more = ", starts array<int>, ends array<int>" if offsets else ""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -57,7 +59,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: what encode() and then decode() give; with keep_ids also ids."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: what encode() and then decode() give; with keep_ids also ids.
+
+    A null or empty text has no ids, and the sums of an empty string. Repeated and null ids stay, other columns are ignored,
+    no rows give no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = bpe.from_ranks(path)
@@ -77,6 +83,7 @@ def digests(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(out)
                 begin += len(n)
         enc.forget()
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     more = ", ids array<int>" if keep_ids else ""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -97,6 +99,15 @@ def mapped(docs: DataFrame, run: Callable[[Iterator[list]], Iterator[list]], res
     return plain.mapInArrow(batches, kinds)
 
 
+def give_back() -> None:
+    """Gives memory that this process has freed back to the system: a Python worker stays after its stage, beside the JVM of the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
 def is_scan(df: DataFrame) -> bool:
     """Whether df is a scan of Parquet files, whose partitions and rows are the same whenever it is read."""
     analyzed = df._jdf.queryExecution().analyzed()
