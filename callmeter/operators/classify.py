@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from callmeter.functions import fixed
 from callmeter.functions.scalar import any_of, has_keyword
-from callmeter.operators.ordered import with_retries, with_turns
+from callmeter.operators.ordered import with_retries, with_turns, with_turns_in_pieces
 
 
 def conversation(message: Column) -> Column:
@@ -35,12 +35,12 @@ def classify_turn(message: Column, tools: Column) -> Column:
     )
 
 
-def turns(calls: DataFrame) -> DataFrame:
+def turns(calls: DataFrame, in_pieces: bool = False) -> DataFrame:
     """One row a turn: source_path, session_id, project, turn_no, user_message, ts_raw, day, n_calls, tools, cost_usd, category, retries, has_edits.
 
-    calls: priced calls with day. A turn belongs to the day of its first call.
+    calls: priced calls with day. A turn belongs to the day of its first call. in_pieces: for sessions too long for a task.
     """
-    rows = with_retries(with_turns(calls))
+    rows = with_retries((with_turns_in_pieces if in_pieces else with_turns)(calls))
     order = F.struct("ts_raw", "line_no")
     tools = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ts_raw", "line_no", "tools"))), lambda x: x["tools"]))
     out = rows.groupBy("source_path", "session_id", "project", "turn_no").agg(

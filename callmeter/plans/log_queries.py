@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from callmeter.operators import incremental, ordered, pricing, reports
-from callmeter.plans.fixture import CTES, MESSAGES, MODELS, PRICES, _case, _pick, raw_calls
-from callmeter.plans.queries import _COST, _TOKENS, Query, out
+from callmeter.operators import classify, incremental, ordered, pricing, reports
+from callmeter.plans.fixture import CTES, MESSAGES, MODELS, PRICES, _case, _pick, calls, raw_calls
+from callmeter.plans.queries import _COST, _TOKENS, TURNS, Query, out
 from callmeter.sources import logs, store
 from callmeter.streaming import calls as streaming
 
@@ -142,8 +142,8 @@ def _streamed(lines: DataFrame, provider: str, at: str) -> DataFrame:
         for chunk in (1, 2, 3):  # each a query of its own, with the state of the one before
             new = spark.read.schema(streaming.LINES).json(f"{at}/in/chunk={chunk}")
             new.write.mode("append").json(f"{at}/now")
-            calls = streaming.stream_calls(streaming.stream_lines(spark, f"{at}/now"), provider, 3600)
-            calls.writeStream.format("parquet").option("path", f"{at}/calls").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+            new_calls = streaming.stream_calls(streaming.stream_lines(spark, f"{at}/now"), provider, 3600)
+            new_calls.writeStream.format("parquet").option("path", f"{at}/calls").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     finally:
         for c, v in before.items():
             spark.conf.set(c, v) if v is not None else spark.conf.unset(c)
@@ -244,3 +244,9 @@ def incremental_loads(spark, sf_dir):
 
         result = incremental.incremental_load(found, parse, at)
     return out(result)
+
+
+@query(CTES + TURNS + " SELECT source_path, session_id, turn_no, n_calls, retries, category FROM t")
+def turns_in_pieces(spark, sf_dir):
+    """Turns of sessions that are cut into hours."""
+    return classify.turns(calls(spark, sf_dir), in_pieces=True).select("source_path", "session_id", "turn_no", "n_calls", "retries", "category")

@@ -194,6 +194,18 @@ def test_retries(spark):
     assert retries([["Edit", "Bash"], ["Edit"]]) == 1
 
 
+def test_turns_in_pieces(spark):
+    r = random.Random(6)
+    rows = [(r.choice("ab"), r.choice(["x", "y", None]), r.choice([None, "", "short", *[f"2024-01-0{d}T0{h}:1{h}:00Z" for d in (1, 2) for h in range(5)]]), i, r.choice(["", "", None, "u1", "u2", "u2"])) for i in range(400)]
+    df = spark.createDataFrame(rows, "source_path string, session_id string, ts_raw string, line_no long, user_ts string")
+    want = sorted(map(tuple, ordered.with_turns(df).collect()), key=str)
+    for chars in (13, 10, 3, 30):
+        got = ordered.with_turns_in_pieces(df, chars)
+        assert sorted(map(tuple, got.collect()), key=str) == want
+    windows = [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [" in x]
+    assert all("_piece" in x for x in windows) and len(windows) >= 3
+
+
 def test_null_keys_are_all_kept(spark):
     rows = [("a", "f1", 1, "k"), ("a", "f2", 1, "k"), ("b", "f1", 2, "k"), ("a", "f1", 3, None), ("a", "f1", 4, None), ("a", "f1", 5, "")]
     df = spark.createDataFrame(rows, "provider string, source_path string, line_no long, dedup_key string")
