@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +13,15 @@ from callmeter.functions.scalar import MONEY, canonical_model, currency_symbol
 PRICE = "key string, input decimal(18,12), output decimal(18,12), cache_write decimal(18,12), cache_read decimal(18,12), web_search decimal(18,12), fast decimal(9,3)"
 
 
+def small_table(spark: SparkSession, rows: list[tuple], kinds: str) -> DataFrame:
+    """A table of a few rows as one literal: Spark knows that it is small, and no Python is asked for it. kinds: of its columns."""
+    names = [k.split(" ", 1)[0] for k in kinds.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{kinds.replace(' ', ':').replace(',:', ',')}>>")))
+
+
 def price_table(spark: SparkSession, prices: dict[str, tuple]) -> DataFrame:
-    rows = [(k, *map(str, v[:4]), fixed.WEB_SEARCH_PRICE, str(v[4])) for k, v in prices.items()]
-    text = spark.createDataFrame(rows, "key string, input string, output string, cache_write string, cache_read string, web_search string, fast string")
-    kinds = dict(x.strip().split(" ", 1) for x in PRICE.split(", "))
-    return text.select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
+    return small_table(spark, [(k, *map(str, v[:4]), fixed.WEB_SEARCH_PRICE, str(v[4])) for k, v in prices.items()], PRICE)
 
 
 def fallback_prices(spark: SparkSession) -> DataFrame:
@@ -80,9 +86,11 @@ def resolve_price(models: DataFrame, prices: DataFrame, fallback: DataFrame) ->
     """
     names = models.select("model", canonical_model(F.col("model")).alias("name")).distinct().filter("name IS NOT NULL")
     table = prices.withColumn("own", F.lit(True)).unionByName(fallback.withColumn("own", F.lit(False)))
-    begun = names.select("*", F.explode(_prefixes("name")).alias("key")).join(table, "key")
-    longer = table.filter("own").select("*", F.explode(_prefixes("key")).alias("name")).filter("name <> '' AND name <> key").join(names, "name")
-    met = begun.unionByName(longer)
+    whole = lambda key: F.struct(F.lit("key").alias("of"), key.alias("part"))
+    begins = lambda name: F.struct(F.lit("name").alias("of"), name.alias("part"))
+    asked = F.explode(F.concat(F.transform(_prefixes("name"), whole), F.array(begins(F.col("name")))))
+    offered = F.explode(F.concat(F.array(whole(F.col("key"))), F.transform(F.filter(_prefixes("key"), lambda p: F.col("own") & (p != "") & (p != F.col("key"))), begins)))
+    met = names.select("*", asked.alias("at")).join(table.select("*", offered.alias("at")), "at")
     exact, hyphen = F.col("name") == F.col("key"), F.col("name").startswith(F.concat("key", F.lit("-")))
     tier = F.when(F.col("own") & exact, 1).when(~F.col("own") & exact, 2).when(~F.col("own") & hyphen, 3).when(F.col("own") & (F.col("name") != ""), 4).when(~F.col("own"), 5)
     met = met.withColumn("tier", tier).filter("tier IS NOT NULL")

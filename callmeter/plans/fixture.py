@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from callmeter.functions.scalar import shell_commands
 from callmeter.operators.ordered import dedup_calls
-from callmeter.operators.pricing import fallback_prices, price_table, with_cost
+from callmeter.operators.pricing import fallback_prices, price_table, small_table, with_cost
 from callmeter.operators.reports import with_day
 
 #: Invented prices: model: input, output, cache write, cache read, multiplier of the fast mode.
@@ -57,7 +57,7 @@ def raw_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deduplicated, priced calls with day."""
-    models = spark.createDataFrame([(m,) for m in MODELS], "model string")
+    models = small_table(spark, [(m,) for m in MODELS], "model string")
     return with_day(with_cost(dedup_calls(raw_calls(spark, sf_dir)), price_table(spark, PRICES), fallback_prices(spark), models))
 
 
