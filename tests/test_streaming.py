@@ -1,6 +1,7 @@
 """Streams of logs that are cut anywhere against the batch scans of the whole logs."""
 
 import json
+import os
 import random
 
 import pytest
@@ -108,6 +109,7 @@ def test_stream_is_the_batch(spark, tmp_path, provider):
         for k in range(stop):
             if not (tmp_path / f"now/{k:03d}.json").exists():
                 (tmp_path / f"now/{k:03d}.json").write_text((tmp_path / f"in/{k:03d}.json").read_text())
+                os.utime(tmp_path / f"now/{k:03d}.json", (1.7e9 + k, 1.7e9 + k))  # files are taken in the order of their times
         df = streaming.stream_calls(streaming.stream_lines(spark, str(tmp_path / "now"), 1), provider, 3600, projects)
         assert df.columns == want.columns == logs.CALL_COLUMNS
         streaming.each_batch(df, lambda b, _: got.extend(b.collect()), str(tmp_path / "ck"), once=True).awaitTermination()
