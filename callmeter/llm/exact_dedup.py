@@ -27,7 +27,9 @@ BLOCK_CHARS = 4096
 
 def _pieces(docs: DataFrame, block_chars: int) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    norm = docs.select("doc_id", *(["_row"] if "_row" in docs.columns else []), F.char_length(text).alias("n_chars"), F.regexp_replace(text, WHITE, "").alias("norm"))
+    # numbered before the blocks are dealt out to rows, since all blocks of a row must share the number
+    rid = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
+    norm = docs.select("doc_id", rid.alias("rid"), F.char_length(text).alias("n_chars"), F.regexp_replace(text, WHITE, "").alias("norm"))
     n = F.greatest(F.lit(1), F.ceil(F.char_length("norm") / block_chars).cast("int"))
     return norm.withColumn("n_blocks", n)
 
@@ -46,9 +48,8 @@ def _first_names(docs: DataFrame, block_chars: int, key: Column, exact: bool) ->
     pieces = _pieces(docs, block_chars)
     keyed = pieces.select(F.explode(_blocks(block_chars)).alias("block")).select(key.alias("h"), "block")
     names = _numbered(keyed, ["h", "block"])
-    rid = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
     rows = pieces.select(
-        rid.alias("rid"), "doc_id", "n_chars", F.sha2("norm", 256).alias("text_sha256"),
+        "rid", "doc_id", "n_chars", F.sha2("norm", 256).alias("text_sha256"),
         F.col("n_blocks").alias("left"), F.posexplode(_blocks(block_chars)).alias("pos", "block"),
     )
     rows = rows.withColumn("h", key)

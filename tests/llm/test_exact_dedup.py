@@ -29,6 +29,16 @@ def test_against_brute_force(docs, block, poor_hash):
     assert sorted(map(tuple, got), key=str) == brute(some.collect())
 
 
+@pytest.mark.parametrize("block", [3, 4096])
+def test_blocks_after_the_first_count(spark, block):
+    """Texts of as many blocks that differ in a later one alone are not equal."""
+    x, y = "x" * block, "y" * block
+    texts = [x + "x", x + x, x + y, x, "x", x + x + "x", x + x + x, x + x + y, x + y + x, x + " " + x]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = exact_dedup.exact_dedup(rows, block).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows.collect())
+
+
 def test_keep_one_and_no_rows(docs):
     kept = exact_dedup.keep_one(docs)
     assert kept.columns == docs.columns
