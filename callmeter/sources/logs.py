@@ -179,16 +179,17 @@ def codex_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def codex_calls(rows: DataFrame) -> DataFrame:
-    """Calls of counts that have their usage, tools, user_message, session_id, project and session_model."""
+def codex_calls(rows: DataFrame, also: list[str] | None = None) -> DataFrame:
+    """Calls of counts that have their usage, tools, user_message, session_id, project and session_model. input_tokens are those not
+    cached, 0 at least; also: as for as_calls(), such as all_input, the input as it is logged."""
     return as_calls(
-        rows, tools=map_tools(F.col("tools"), "codex"), model=F.coalesce("model", "session_model", F.lit("gpt-5")), input_tokens=F.greatest(F.col("all_input") - F.col("cached_input_tokens"), F.lit(0)),
+        rows, also=also, tools=map_tools(F.col("tools"), "codex"), model=F.coalesce("model", "session_model", F.lit("gpt-5")), input_tokens=F.greatest(F.col("all_input") - F.col("cached_input_tokens"), F.lit(0)),
         cache_read_tokens=F.col("cached_input_tokens"), dedup_key=F.concat_ws(":", F.lit("codex"), "source_path", "ts_raw", F.col("cum").cast("string")),
     )
 
 
-def scan_codex(lines: DataFrame) -> DataFrame:
-    """token_count events of files whose first line is a session_meta of an originator that starts with codex."""
+def scan_codex(lines: DataFrame, also: list[str] | None = None) -> DataFrame:
+    """token_count events of files whose first line is a session_meta of an originator that starts with codex. also: as for codex_calls()."""
     w = ordered.by_line()
     rows = codex_lines(lines).withColumn("first", F.first(F.struct("head", "project")).over(ordered.so_far(w))).filter("first.head")
     latest = lambda c: F.last(c, ignorenulls=True).over(ordered.so_far(w))
@@ -199,7 +200,7 @@ def scan_codex(lines: DataFrame) -> DataFrame:
     rows = rows.withColumns({c: ordered.cumulative_delta(F.when(F.col("own"), F.col(c)), F.col(c), recorded, w) for c in _CODEX_USE})
     rows = rows.withColumn("emits", F.col("live") & (reduce(lambda a, b: a + b, (F.col(c) for c in _CODEX_USE)) > 0))
     rows = ordered.pending_tools(rows, F.col("tool"), F.col("emits"))
-    return codex_calls(ordered.consume_user(rows, F.col("said").isNotNull(), F.col("emits"), F.col("said")).filter("emits"))
+    return codex_calls(ordered.consume_user(rows, F.col("said").isNotNull(), F.col("emits"), F.col("said")).filter("emits"), also)
 
 
 def pi_lines(lines: DataFrame) -> DataFrame:

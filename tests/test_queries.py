@@ -37,6 +37,23 @@ def test_against_sql(spark, con, name):
     assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
 
 
+@pytest.mark.parametrize("name", ["scan_codex"])
+def test_more_is_cached_than_read(spark, tmp_path, name):
+    """A count of 5 tokens of input, 6 of them cached."""
+    values = [(e, 1, kind, 0.0 if e % 2 else 3.5, k) for e, (kind, k) in enumerate([("view", 1), ("click", 6), ("signup", 2), ("purchase", 6), ("click", 13), ("click", 20)])]
+    rows = spark.createDataFrame(values, "event_id long, user_id long, event_type string, value double, k int")
+    rows.selectExpr("event_id", "timestamp_ntz '2024-01-01 10:00:00' + make_dt_interval(0, 0, 0, event_id) AS ts", "user_id", "event_type", "value", "format_string('{\"k\": %d}', k) AS props").write.parquet(f"{tmp_path}/events.parquet")
+    got = log_queries.QUERIES[name](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = c.sql(SQL[name])
+    assert rows_of(got, want) and min(r["input_tokens"] for r in got.collect()) == -1
+
+
+def rows_of(got, want):
+    return rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
+
+
 def test_usage_reads_events_once(spark):
     plan = queries.QUERIES["daily_usage"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1 and plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning") <= 6  # two are over the list of models
