@@ -127,19 +127,19 @@ def _columns(rows: DataFrame, kinds: str) -> list[Column]:
     return out
 
 
-def stream_calls(lines: DataFrame, provider: str, quiet_seconds: int, projects: DataFrame | None = None) -> DataFrame:
+def stream_calls(lines: DataFrame, provider: str, quiet_seconds: int, projects: DataFrame | None = None, also: list[str] | None = None) -> DataFrame:
     """Calls of new lines in all columns of the provider's batch scan: claude, codex, pi or copilot.
 
     What a source carries survives from one batch to the next and a restart, until it is quiet for quiet_seconds (of
     processing time); later lines start it anew. Repeated keys within a source are left out here, over sources by
-    stream_dedup(). projects: as for scan_copilot(). The new lines of a source in one batch are one group of a task.
+    stream_dedup(). projects: as for scan_copilot(); also: as for scan_codex(), of codex alone. The new lines of a source in one batch are one group of a task.
     """
     read = PROVIDERS[provider][0]
     rows = read(lines, projects) if provider == "copilot" else read(lines)
     rows = rows.select(*_columns(rows, f"{_CALL}, {_CARRIES}"))
     out = rows.groupBy("source_path").transformWithStateInPandas(_Carry(provider, 1000 * quiet_seconds), _OUT, "append", "processingTime")
     out = out.withColumn("session_id", F.coalesce("session_id", logs.stem(F.col("source_path"))))
-    return logs.codex_calls(out) if provider == "codex" else logs.as_calls(out)
+    return logs.codex_calls(out, also) if provider == "codex" else logs.as_calls(out)
 
 
 def stream_dedup(calls: DataFrame, late: str = "2 days") -> DataFrame:

@@ -37,7 +37,7 @@ def test_against_sql(spark, con, name):
     assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["scan_codex"])
+@pytest.mark.parametrize("name", ["scan_codex", "stream_codex"])
 def test_more_is_cached_than_read(spark, tmp_path, name):
     """A count of 5 tokens of input, 6 of them cached."""
     values = [(e, 1, kind, 0.0 if e % 2 else 3.5, k) for e, (kind, k) in enumerate([("view", 1), ("click", 6), ("signup", 2), ("purchase", 6), ("click", 13), ("click", 20)])]
