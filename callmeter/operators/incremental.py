@@ -122,11 +122,17 @@ def _stored(spark: SparkSession, path: str, ledger: DataFrame) -> DataFrame:
     return rows.join(ledger.select("source_path", "part"), ["source_path", "part"], "left_semi").drop("part")
 
 
-def _first_days(rows: DataFrame, sign: int) -> DataFrame:
-    """The rollup of the first call of each key, with that sign."""
-    sums = F.struct("source_path", "session_id", "day", "live", "cost_usd", *reports.TOKENS)
-    first = rows.groupBy("provider", "call_key").agg(F.min_by(sums, F.struct("source_path", "line_no")).alias("c")).select("c.*").filter("live AND day IS NOT NULL")
-    return first.select("source_path", "session_id", (sign * F.col("cost_usd")).cast("decimal(38,12)").alias("cost_usd"), F.lit(sign).cast("long").alias("calls"), *[(sign * F.col(c)).alias(c) for c in reports.TOKENS], "day")
+def _first_days(rows: DataFrame) -> DataFrame:
+    """What the rollup gains and loses: rows of the first call of each key, less those of the first call that it had.
+
+    rows: calls, with had (whether the rollup knows them) and has (whether they count from now on).
+    """
+    sums, place = F.struct("source_path", "session_id", "day", "live", "cost_usd", *reports.TOKENS), F.struct("source_path", "line_no")
+    first = rows.groupBy("provider", "call_key").agg(F.min_by(sums, F.when(F.col("had"), place)).alias("b"), F.min_by(sums, F.when(F.col("has"), place)).alias("a"))
+    signed = F.array(F.struct(F.lit(-1).alias("sign"), F.col("b").alias("c")), F.struct(F.lit(1).alias("sign"), F.col("a").alias("c")))
+    first = first.filter(~F.col("a").eqNullSafe(F.col("b"))).select(F.explode(signed).alias("s")).select("s.sign", "s.c.*").filter("live AND day IS NOT NULL")
+    sign = F.col("sign")
+    return first.select("source_path", "session_id", (sign * F.col("cost_usd")).cast("decimal(38,12)").alias("cost_usd"), sign.cast("long").alias("calls"), *[(sign * F.col(c)).alias(c) for c in reports.TOKENS], "day")
 
 
 def _to_move(same: DataFrame) -> list[str]:
@@ -143,7 +149,8 @@ def save_sessions(found: DataFrame, parse: Callable[[DataFrame], DataFrame], pat
     Stored are the calls of each source by itself, narrow, in a few parts; the rollup of the first call of each key over
     all sources; and the ledger of sources with their part. A load parses the changed sources alone. It finds the keys
     that they, or the sources that are gone or were rewritten, have or had, and takes from the rollup what their first
-    calls were and adds what they are now, so that any number of loads gives what one whole load gives.
+    calls were and adds what they are now, so that any number of loads gives what one whole load gives. Both are found in
+    one pass over the calls of these keys. A day's rollup is written in as few files as its size takes, not one a task.
 
     A load is a folder of its own until its last step, one empty file, which makes it count: one that is killed at any
     step leaves the one before. Then what neither this nor the load before needs is removed. One load runs at a time.
@@ -163,13 +170,12 @@ def save_sessions(found: DataFrame, parse: Callable[[DataFrame], DataFrame], pat
     moved = same.filter(F.col("part").isin(_to_move(same)))
     _as_stored(parse(changed)).write.parquet(f"{path}/parts/part={part}")
     new = spark.read.schema(_CALL).parquet(f"{path}/parts/part={part}")
-    old = _stored(spark, path, ledger)
+    old = _stored(spark, path, ledger).join(stale.select("source_path", F.lit(True).alias("gone")), "source_path", "left")
     touched = new.select("provider", "call_key").union(_stored(spark, path, stale).select("provider", "call_key")).distinct()
-    before = old.join(touched, ["provider", "call_key"], "left_semi")
-    after = before.join(stale.select("source_path"), "source_path", "left_anti").unionByName(new)
-    both = load_sessions(spark, path).unionByName(_first_days(before, -1)).unionByName(_first_days(after, 1))
+    before = old.join(touched, ["provider", "call_key"], "left_semi").withColumns({"had": F.lit(True), "has": F.col("gone").isNull()}).drop("gone")
+    both = load_sessions(spark, path).unionByName(_first_days(before.unionByName(new.withColumns({"had": F.lit(False), "has": F.lit(True)}))))
     daily = both.groupBy("source_path", "session_id", "day").agg(*[F.sum(c).cast("decimal(38,12)" if c == "cost_usd" else "long").alias(c) for c in _SUMS]).filter("calls <> 0")
-    daily.write.partitionBy("day").parquet(f"{at}/usage_daily")
+    daily.hint("rebalance", "day").write.partitionBy("day").parquet(f"{at}/usage_daily")
 
     _stored(spark, path, moved).write.mode("append").parquet(f"{path}/parts/part={part}")
     own = changed.unionByName(moved.select(*key))

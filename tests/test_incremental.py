@@ -105,3 +105,17 @@ def test_a_killed_load_leaves_the_one_before(spark, tmp_path, monkeypatch, step)
     own.write(r, "c")
     assert plain(incremental.incremental_load(own.found(), own.parse, at)) == own.whole()
     assert len(store.names(spark, f"{at}/commits")) == 2
+
+
+def test_a_day_is_not_a_file_of_each_task(spark, tmp_path):
+    """The rollup of a day is small: its files do not grow in number with the tasks that count it."""
+    r, own, at = random.Random(11), Logs(spark, tmp_path), str(tmp_path / "store")
+    for k in range(12):
+        own.write(r, f"s{k}", 20)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert plain(incremental.incremental_load(own.found(), own.parse, at)) == own.whole()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    days = list((tmp_path / "store/commits").glob("*/usage_daily/day=*"))
+    assert days and all(len(list(d.glob("*.parquet"))) == 1 for d in days)
