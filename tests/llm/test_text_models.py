@@ -131,6 +131,35 @@ def test_lm_score_tells_order_and_handles_no_rows(spark, docs):
     assert {(r["n_tokens"], r["n_known"], r["train_tokens"]) for r in nothing} == {(3, 0, 0)}
 
 
+def test_lm_blocks_and_slices_send_one_row_for_each_other(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lm_score, "BLOCK_ROWS", 32)
+    spark.createDataFrame([(i, prose("en", 300, i)) for i in range(64)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    written, sent = lm_score.written, {}
+
+    def count(df, name):
+        out = written(df, name)
+        sent[name] = out.filter("block IS NOT NULL").count()
+        return out
+
+    monkeypatch.setattr(lm_score, "written", count)
+    one = {r["doc_id"]: r for r in lm_score.score(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    monkeypatch.setattr(lm_score, "SLICES", 4)
+    few = {r["doc_id"]: r for r in lm_score.score(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    assert sent == {"lm-words": 8, "lm-slices": 8}  # two blocks, four slices
+    assert {d: r[:5] for d, r in one.items()} == {d: r[:5] for d, r in few.items()} and len(one) == 64
+    assert [one[d][5:] for d in one] == [pytest.approx(few[d][5:]) for d in one]
+
+
+def test_lm_tokens_are_those_of_split(monkeypatch):
+    texts = [None, "", " \t\n\r\x0b\x0c ", "Ab aB  x\n", "\x1c\u0085\xa0É ab", "x " * 50, " y", "ÀZ"]
+    for size in (1 << 24, 8):
+        monkeypatch.setattr(lm_score, "CHUNK", size)
+        got = lm_score.read(pa.chunked_array([texts[:3], texts[3:]], pa.string()))
+        words, ends = got.words.to_pylist(), np.cumsum(got.n)
+        want = [(t or "").encode().lower().split() for t in texts]
+        assert len(set(words)) == len(words) and [[words[k] for k in got.code[e - n : e]] for e, n in zip(ends, got.n)] == want
+
+
 def test_lanes_do_not_change_scores():
     words = [[b"abc", b"de"] * 900, [b"x"], []]
     laid = lm_score.lay(words)
