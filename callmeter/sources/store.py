@@ -35,6 +35,15 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(own, True)
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Gives a folder another name; one that is missing is made there, empty."""
+    fs, own = _at(spark, path)
+    new = spark._jvm.org.apache.hadoop.fs.Path(to)
+    fs.mkdirs(new.getParent() if fs.exists(own) else new)
+    if fs.exists(own) and not fs.rename(own, new):
+        raise OSError(f"{path} cannot be renamed to {to}")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; only a local session without one gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -10,7 +10,13 @@ The query needs the RocksDB state store: `configure()` sets it in a session.
 
 from __future__ import annotations
 
+import json
+import zlib
+from collections import namedtuple
 from collections.abc import Callable, Iterator
+from itertools import starmap
+from operator import attrgetter
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,13 +29,20 @@ from callmeter.sources import logs
 
 LINES = "source_path string, line_no long, value string"
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: What a line tells of its log, and what it may be as a call.
-_CARRIES = "head boolean, emits boolean, is_count boolean, own boolean, live boolean, cum long, all_input long, session_model string, said string, said_ts string, tool string"
-_CALL = (
-    "provider string, source_path string, line_no long, project string, session_id string, model string, input_tokens long, output_tokens long, cache_write_tokens long, cache_read_tokens long, "
-    "cached_input_tokens long, reasoning_tokens long, web_search_requests long, speed string, tools array<string>, bash_commands array<string>, ts_raw string, dedup_key string"
-)
-_OUT = f"{_CALL}, user_message string, user_ts string, session_model string, cum long, all_input long"
+#: Groups of sources, whose lines are handed out together, and slots of a group, whose sources' states are one row of the store.
+#: What is stored goes by both: a stream keeps the numbers that it began with.
+GROUPS, SLOTS = 1024, 64
+#: By name, the kinds of columns: of a call, and of what a line tells of its log.
+_CALL = {
+    "provider": "string", "source_path": "string", "line_no": "long", "project": "string", "session_id": "string", "model": "string", "input_tokens": "long", "output_tokens": "long", "cache_write_tokens": "long",
+    "cache_read_tokens": "long", "cached_input_tokens": "long", "reasoning_tokens": "long", "web_search_requests": "long", "speed": "string", "tools": "array<string>", "bash_commands": "array<string>", "ts_raw": "string", "dedup_key": "string",
+}
+_KINDS = _CALL | {"head": "boolean", "emits": "boolean", "is_count": "boolean", "own": "boolean", "live": "boolean", "cum": "long", "all_input": "long", "session_model": "string", "said": "string", "said_ts": "string", "tool": "string"}
+_OUT = _CALL | {"user_message": "string", "user_ts": "string", "session_model": "string", "cum": "long", "all_input": "long"}
+#: Of columns that a provider's lines lack.
+_DEFAULT = {"live": True, "speed": "standard", **{c: 0 for c, kind in _KINDS.items() if kind == "long"}, **{c: False for c, kind in _KINDS.items() if kind == "boolean" and c != "live"}}
+#: What a new source carries: wanted, project, session, model, text and its time, last total, last recorded totals, waiting tools.
+_NEW = (None, None, None, None, None, None, 0, 0, 0, 0, 0, [])
 _USE = ["all_input", "cached_input_tokens", "output_tokens", "reasoning_tokens"]
 #: By provider: columns of its lines, whether a text goes to one call alone, whether a file is judged by its first line.
 PROVIDERS: dict[str, tuple[Callable[..., DataFrame], bool, bool]] = {
@@ -41,88 +54,120 @@ def configure(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
 
 
-def stream_lines(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    return spark.readStream.schema(LINES).option("maxFilesPerTrigger", files_per_trigger).json(path)
+def stream_lines(spark: SparkSession, path: str, files_per_trigger: int = 1000, kind: str = "json") -> DataFrame:
+    return spark.readStream.schema(LINES).option("maxFilesPerTrigger", files_per_trigger).format(kind).load(path)
 
 
 class _Carry(StatefulProcessor):
-    """Takes the new lines of a source in their order through its state. Lines of a source come in their order over batches."""
+    """Takes the new lines of a group of sources, source by source and in their order, through the state of each.
+
+    Lines of a source come in their order over batches. columns: of the lines; shown: of the calls.
+    """
 
-    def __init__(self, provider: str, quiet_ms: int):
-        self.provider, self.quiet_ms = provider, quiet_ms
+    def __init__(self, provider: str, quiet_ms: int, columns: list[str], shown: list[str]):
+        self.provider, self.quiet_ms, self.columns, self.shown = provider, quiet_ms, columns, shown
         _, self.consumes, self.judged = PROVIDERS[provider]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.log = handle.getValueState("log", "wanted boolean, project string, session_id string, model string, said string, said_ts string")
-        self.totals = handle.getValueState("totals", "cum long, input long, cached long, output long, reasoning long")
-        self.tools = handle.getListState("tools", "tool string")
-        self.keys = handle.getMapState("keys", "key string", "line long")
+        self.logs = handle.getMapState("logs", "slot int", "sources string")
+        self.keys = handle.getMapState("keys", "source string, key string", "line long")
+        lacking = {c: _DEFAULT.get(c) for c in _KINDS if c not in self.columns}
+        self.line = namedtuple("Line", [*self.columns, *lacking], defaults=lacking.values())
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        wanted, project, session, model, said, said_ts = self.log.get() if self.log.exists() else (None,) * 6
-        cum, *recorded = self.totals.get() if self.totals.exists() else (0,) * 5
-        waiting = [t for (t,) in self.tools.get()] if self.tools.exists() else []
-        out = []
-        for line in pd.concat(list(rows), ignore_index=True).sort_values("line_no", kind="stable").to_dict("records"):
+        now, sources, out = timerValues.getCurrentProcessingTimeInMs(), {}, []
+        for some in rows:
+            for line in starmap(self.line, zip(*(some[c].tolist() for c in self.columns))):
+                sources.setdefault(line.source_path, []).append(line)
+        slots: dict[int, list] = {}
+        for source in sources:
+            slots.setdefault(zlib.crc32((source or "").encode()) % SLOTS, []).append(source)
+        for slot, touched in slots.items():
+            held = self._held(self.logs.getValue((slot,)))
+            for source in touched:
+                before = held[source][:-1] if source in held else _NEW
+                held[source] = [*self._taken(source, sorted(sources[source], key=attrgetter("line_no")), before, out), now]
+            self.logs.updateValue((slot,), (json.dumps(list(held.items())),))
+        if not list(self.handle.listTimers()):
+            self.handle.registerTimer(now + self.quiet_ms)
+        yield pd.DataFrame(out, columns=self.shown, dtype=object)
+
+    @staticmethod
+    def _held(row: tuple | None) -> dict[str | None, list]:
+        """What the sources of a slot carry, and last when each was seen."""
+        return dict(json.loads(row[0])) if row else {}
+
+    def _taken(self, source: str, lines: list[NamedTuple], held: tuple, out: list[tuple]) -> tuple:
+        """What a source carries after some more lines; their calls are added to out."""
+        wanted, project, session, model, said, said_ts, cum, *recorded, waiting = held
+        waiting = list(waiting)
+        for line in lines:
             if wanted is None:
-                wanted, project = not self.judged or line["head"], line["project"]
+                wanted, project = not self.judged or line.head, line.project
             if not wanted:
                 break
-            session = line["session_id"] or session
-            model = (line["model"] if self.provider == "copilot" else line["session_model"]) or model
-            if line["tool"] is not None:
-                waiting.append(line["tool"])
-            if line["said"] is not None and line["said"].strip():
-                said, said_ts = line["said"], line["said_ts"]
-            emits = line["emits"]
-            if line["is_count"]:
-                emits = (line["cum"] == 0 or line["cum"] != cum) and (line["own"] or line["cum"] > 0)
-                cum = line["cum"]
-                if emits and not line["own"]:
-                    totals = [line[c] for c in _USE]
-                    line |= {c: max(0, now - before) for c, now, before in zip(_USE, totals, recorded, strict=True)}
+            session = line.session_id or session
+            model = (line.model if self.provider == "copilot" else line.session_model) or model
+            if line.tool is not None:
+                waiting.append(line.tool)
+            if line.said is not None and line.said.strip():
+                said, said_ts = line.said, line.said_ts
+            emits, names = line.emits, {}
+            if line.is_count:
+                emits = (line.cum == 0 or line.cum != cum) and (line.own or line.cum > 0)
+                cum = line.cum
+                use = [getattr(line, c) for c in _USE]
+                if emits and not line.own:
+                    totals = use
+                    use = [max(0, at - before) for at, before in zip(totals, recorded, strict=True)]
                     recorded = totals
-                emits = emits and sum(line[c] for c in _USE) > 0
-                line["tools"] = waiting
+                emits = emits and sum(use) > 0
+                names = dict(zip(_USE, use)) | {"tools": waiting}
             if not emits or self.provider == "copilot" and not model:
                 continue
-            if self.provider == "claude" and line["dedup_key"]:
-                if self.keys.containsKey((line["dedup_key"],)):
+            if self.provider == "claude" and line.dedup_key:
+                if self.keys.containsKey((source, line.dedup_key)):
                     continue
-                self.keys.updateValue((line["dedup_key"],), (line["line_no"],))
-            if not line["live"]:
+                self.keys.updateValue((source, line.dedup_key), (line.line_no,))
+            if not line.live:
                 continue
-            names = {"session_id": session, "project": line["project"] if not self.judged else project, "user_message": said or "", "user_ts": said_ts or ""}
+            names |= {"session_id": session, "project": project if self.judged else line.project, "user_message": said or "", "user_ts": said_ts or ""}
             names |= {"session_model": model} if self.provider == "codex" else {"model": model} if self.provider == "copilot" else {}
-            out.append(line | names)
+            out.append(tuple(names[c] if c in names else getattr(line, c) for c in self.shown))
             if self.consumes:
                 said, said_ts = None, None
-            if line["is_count"]:
+            if line.is_count:
                 waiting = []
-        self.log.update((wanted, project, session, model, said, said_ts))
-        self.totals.update((cum, *recorded))
-        self.tools.put([(t,) for t in waiting]) if waiting else self.tools.clear()
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at if isinstance(at, int) else at[0])
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.quiet_ms)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")], dtype=object)
+        return wanted, project, session, model, said, said_ts, cum, *recorded, waiting
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        for state in (self.log, self.totals, self.tools, self.keys):
-            state.clear()
+        now = timerValues.getCurrentProcessingTimeInMs()
+        gone, left = set(), []
+        for (slot,), row in list(self.logs.iterator()):
+            held = self._held(row)
+            stays = {source: own for source, own in held.items() if own[-1] + self.quiet_ms > now}
+            left += [own[-1] for own in stays.values()]
+            if len(stays) < len(held):
+                gone |= held.keys() - stays.keys()
+                self.logs.updateValue((slot,), (json.dumps(list(stays.items())),)) if stays else self.logs.removeKey((slot,))
+        for own in [k for k in self.keys.keys() if k[0] in gone] if self.provider == "claude" and gone else []:
+            self.keys.removeKey(tuple(own))
+        if left:
+            # a group is looked through sixteen times in the quiet time at most, however many sources become quiet
+            self.handle.registerTimer(max(min(left) + self.quiet_ms, now + self.quiet_ms // 16))
         return iter([])
 
     def close(self) -> None:
         pass
 
 
-def _columns(rows: DataFrame, kinds: str) -> list[Column]:
+def _columns(rows: DataFrame, kinds: dict[str, str]) -> list[Column]:
     """Columns of those kinds; what rows lacks has its default, and no number or flag is null."""
     default = {"long": F.lit(0), "boolean": F.lit(False), "array<string>": F.array()}
     out = []
-    for c, kind in (x.split() for x in kinds.split(", ")):
-        own = F.col(c) if c in rows.columns else {"live": F.lit(True), "speed": F.lit("standard")}.get(c, F.lit(None))
+    for c, kind in kinds.items():
+        own = F.col(c) if c in rows.columns else F.lit(_DEFAULT.get(c) if kind != "array<string>" else None)
         out.append((F.coalesce(own, default[kind]) if kind in default else own).cast(kind).alias(c))
     return out
 
@@ -131,14 +176,21 @@ def stream_calls(lines: DataFrame, provider: str, quiet_seconds: int, projects:
     """Calls of new lines in all columns of the provider's batch scan: claude, codex, pi or copilot.
 
     What a source carries survives from one batch to the next and a restart, until it is quiet for quiet_seconds (of
-    processing time); later lines start it anew. Repeated keys within a source are left out here, over sources by
-    stream_dedup(). projects: as for scan_copilot(); also: as for scan_codex(), of codex alone. The new lines of a source in one batch are one group of a task.
+    processing time), or up to a sixteenth more; later lines start it anew. Repeated keys within a source are left out
+    here, over sources by stream_dedup(). projects: as for scan_copilot(); also: as for scan_codex(), of codex alone.
+
+    Sources are dealt by their hash to GROUPS groups. The new lines of a group in one batch are in a task's hands at a time,
+    so that a source costs no frames and timers of its own, and the sources of a slot are read and stored together.
     """
     read = PROVIDERS[provider][0]
     rows = read(lines, projects) if provider == "copilot" else read(lines)
-    rows = rows.select(*_columns(rows, f"{_CALL}, {_CARRIES}"))
-    out = rows.groupBy("source_path").transformWithStateInPandas(_Carry(provider, 1000 * quiet_seconds), _OUT, "append", "processingTime")
-    out = out.withColumn("session_id", F.coalesce("session_id", logs.stem(F.col("source_path"))))
+    own = {c: kind for c, kind in _KINDS.items() if c in rows.columns and c != "provider"}  # what all lines have alike is added below
+    made = {"session_id", "project", "user_message", "user_ts", *(["tools"] if "tool" in own else [])}
+    shown = {c: kind for c, kind in _OUT.items() if c in own or c in made}
+    rows = rows.select(F.pmod(F.xxhash64("source_path"), F.lit(GROUPS)).alias("_group"), *_columns(rows, own))
+    out = rows.groupBy("_group").transformWithStateInPandas(_Carry(provider, 1000 * quiet_seconds, list(own), list(shown)), ", ".join(f"{c} {kind}" for c, kind in shown.items()), "append", "processingTime")
+    out = out.withColumns({"provider": F.lit(provider), "session_id": F.coalesce("session_id", logs.stem(F.col("source_path")))})
+    out = out.select(*_columns(out, _OUT))
     return logs.codex_calls(out, also) if provider == "codex" else logs.as_calls(out)
 
 

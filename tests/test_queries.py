@@ -50,6 +50,16 @@ def test_more_is_cached_than_read(spark, tmp_path, name):
     assert rows_of(got, want) and min(r["input_tokens"] for r in got.collect()) == -1
 
 
+@pytest.mark.parametrize("kinds", [[], ["view"], ["click", "view", "purchase", "click"]])
+def test_logs_of_few_events_are_streamed(spark, tmp_path, kinds):
+    """No log has a line for each chunk."""
+    rows = spark.createDataFrame([(e, e % 3, kind, 3.5, 6) for e, kind in enumerate(kinds)], "event_id long, user_id long, event_type string, value double, k int")
+    rows.selectExpr("event_id", "timestamp_ntz '2024-01-01 10:00:00' AS ts", "user_id", "event_type", "value", "format_string('{\"k\": %d}', k) AS props").write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert rows_of(log_queries.stream_codex(spark, str(tmp_path)), c.sql(SQL["stream_codex"]))
+
+
 def rows_of(got, want):
     return rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
 

@@ -4,6 +4,7 @@ import json
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +149,85 @@ def test_quiet_sources_lose_their_state(spark, tmp_path):
         df = streaming.stream_calls(streaming.stream_lines(spark, str(tmp_path / "in"), 1), "claude", 3600)
         streaming.each_batch(df, lambda b, _: got.extend(b.collect()), str(tmp_path / "ck"), once=True).awaitTermination()
     assert [r["user_message"] for r in got] == ["old"]
+
+
+class FakeStore:
+    """The state of one group, and how often it is asked."""
+
+    def __init__(self):
+        self.maps, self.timers, self.calls = {}, set(), 0
+
+    def getMapState(self, name, *_):  # noqa: N802
+        return self.Map(self, self.maps.setdefault(name, {}))
+
+    def listTimers(self):  # noqa: N802
+        return iter([(t,) for t in self.timers])
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+    class Map:
+        def __init__(self, store, rows):
+            self.store, self.rows = store, rows
+
+        def _called(self, out):
+            self.store.calls += 1
+            return out
+
+        def getValue(self, k):  # noqa: N802
+            return self._called(self.rows.get(k))
+
+        def updateValue(self, k, v):  # noqa: N802
+            self._called(self.rows.update({k: v}))
+
+        def containsKey(self, k):  # noqa: N802
+            return self._called(k in self.rows)
+
+        def removeKey(self, k):  # noqa: N802
+            self._called(self.rows.pop(k))
+
+        def iterator(self):
+            return self._called(iter(list(self.rows.items())))
+
+        def keys(self):
+            return self._called(iter(list(self.rows)))
+
+
+class Now:
+    def __init__(self, ms):
+        self.getCurrentProcessingTimeInMs = lambda: ms
+
+
+def claude_frame(lines):
+    named = ["source_path", "line_no", "said", "said_ts", "dedup_key", "emits", "live"]
+    return pd.DataFrame([dict(zip(named, x)) for x in lines], dtype=object)
+
+
+def carried(store, quiet_ms=1000):
+    own = streaming._Carry("claude", quiet_ms, ["source_path", "line_no", "said", "said_ts", "dedup_key", "emits", "live"], ["source_path", "line_no", "user_message"])
+    own.init(store)
+    return own, lambda ms, *frames: [x for df in own.handleInputRows((0,), iter(frames), Now(ms)) for x in df.itertuples(index=False, name=None)]
+
+
+def test_sources_of_a_group_share_calls_of_the_store():
+    store = FakeStore()
+    _, take = carried(store)
+    says, answers = ([(f"s{i}", n, f"t{i}" if n == 1 else None, "", "", n == 2, n == 2) for i in range(500)] for n in (1, 2))
+    assert take(0, claude_frame(says[:200]), claude_frame(says[200:])) == []
+    assert store.calls <= 2 * streaming.SLOTS + 1 and len(store.timers) == 1
+    assert sorted(take(10, claude_frame(answers))) == sorted((f"s{i}", 2, f"t{i}") for i in range(500))
+
+
+def test_each_source_of_a_group_is_quiet_by_itself():
+    store = FakeStore()
+    own, take = carried(store)
+    said = lambda s, n, text: (s, n, text, "", None, False, False)
+    called = lambda s, n, key=None: (s, n, None, None, key, True, True)
+    take(0, claude_frame([said(s, 1, "old") for s in "abc"] + [called("a", 2, "k"), called("c", 2, "k")]))
+    take(900, claude_frame([called("c", 3)]))
+    assert store.timers == {1000}
+    assert list(own.handleExpiredTimer((0,), Now(1000), None)) == []  # a and b are gone with their keys, c is not
+    assert store.timers == {1000, 1900} and set(store.maps["keys"]) == {("c", "k")}
+    assert sorted(take(1100, claude_frame([called(s, 4, "k") for s in "abc"] + [called(s, 5) for s in "bc"]))) == [("a", 4, ""), ("b", 4, ""), ("b", 5, ""), ("c", 5, "old")]
+    assert list(own.handleExpiredTimer((0,), Now(9000), None)) == [] and not store.maps["logs"] and not store.maps["keys"]
