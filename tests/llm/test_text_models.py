@@ -103,6 +103,73 @@ def test_lm_scores_against_brute_force(spark, docs, tmp_path, monkeypatch, share
     assert [x for g in got for x in g[5:]] == pytest.approx([x for w in want for x in w[5:]])
 
 
+def brute_whole(rows, share):
+    """Scores where all words are states: a rare one's failure arc leads to the state of the last frequent word, whose own leads to the root."""
+    words = [(d, (t or "").encode().lower().split(), zlib.crc32(str(d).encode()) % 10 != 0 if d is not None else False) for d, t in rows]
+    count, follow, pair, rare_pair = Counter(), defaultdict(Counter), defaultdict(Counter), defaultdict(Counter)
+    for w in (w for _, w, learn in words if learn):
+        count.update([*w, None])
+        for token in [*(x + b" " for x in set(w)), b"\xff"]:
+            laid = b"\xfe" * 4 + token
+            for k in range(4, len(laid)):
+                for n in range(5):
+                    follow[laid[k - n : k]][laid[k]] += 1
+    total, types = sum(count.values()), len(count)
+    frequent = {x for x, c in count.items() if x is not None and c >= share * total}
+
+    def states(w):
+        h = before = None
+        for x in [*w, None]:
+            yield h, before if before not in frequent else None, x
+            h, before = x if x in frequent else h, x
+
+    for w in (w for _, w, learn in words if learn):
+        for h, rare, x in states(w):
+            pair[h][x] += 1
+            rare_pair[rare][x] += 1
+    n1, n2 = (sum(c == k for c in count.values()) for k in (1, 2))
+    d, m = (n1 + 0.5) / (n1 + 2 * n2 + 1), lm_score.M
+
+    def p(context, byte):
+        low = p(context[1:], byte) if context else 1 / 255
+        own = follow.get(context, Counter())
+        return (own[byte] + m * low) / (sum(own.values()) + m)
+
+    def discounted(own, x, low):
+        return (max(own[x] - lm_score.D2, 0) + lm_score.D2 * len(own) * low) / sum(own.values())
+
+    out = defaultdict(list)
+    for doc, w, _ in words:
+        score = 0.0
+        for h, rare, x in states(w):
+            laid = b"\xfe" * 4 + (b"\xff" if x is None else x + b" ")
+            read = max(count[x] - d, 0) / total + d * types / total * math.prod(p(laid[k - 4 : k], laid[k]) for k in range(4, len(laid)))
+            read = discounted(pair[h], x, read) if h is not None else read
+            score += math.log10(discounted(rare_pair[rare], x, read) if rare is not None and count[rare] else read)
+        out[doc].append(score)
+    return {doc: sorted(x) for doc, x in out.items()}
+
+
+@pytest.mark.parametrize("block, slices", [(8192, 512), (4, 3)])
+def test_lm_rare_words_are_states(spark, docs, tmp_path, monkeypatch, block, slices):
+    """Some words are rare, some unknown, some at a text's end; texts that occur twice score higher than by their frequent words."""
+    for name, value in (("FREQUENT", 0.02), ("BLOCK_ROWS", block), ("SLICES", slices)):
+        monkeypatch.setattr(lm_score, name, value)
+    r = random.Random(3)
+    own = [(100 + i, prose("en" if i % 2 else "de", 12, i) + f" x{i % 7} " + " ".join(f"y{r.randrange(30)}" for _ in range(6)) + f" z{i}") for i in range(40)]
+    twice = [(200 + i, " ".join(f"q{i}{r.choice('abcdef')} the" if k % 3 else f"q{i}{k}" for k in range(20))) for i in range(6)]
+    rows = own + twice + [(d + 100, t) for d, t in twice]
+    docs.filter("doc_id IS NULL OR doc_id NOT IN (5, 6)").select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string")).repartition(2).write.parquet(str(tmp_path / "d"))
+    read = spark.read.parquet(str(tmp_path / "d"))
+    want, got = brute_whole([(r["doc_id"], r["text"]) for r in read.collect()], 0.02), defaultdict(list)
+    for row in lm_score.score(read).collect():
+        got[row["doc_id"]].append(row["score"])
+    assert {d: pytest.approx(x) for d, x in want.items()} == {d: sorted(x) for d, x in got.items()}
+    monkeypatch.setattr(lm_score, "SHARE", 0.02)
+    cut = {r["doc_id"]: r["score"] for r in lm_score.score(read).collect()}
+    assert all(got[d][0] > cut[d] + 3 for d, _ in twice)
+
+
 def test_model_rows_are_joined_by_block():
     pair = lambda h, x: lm_score.PAIR + h.to_bytes(4, "big") + x.to_bytes(4, "big")
     rows = [(7, b"wa", 3, True), (2, b"wa", 3, False), (7, b"\x01a", 0, True), (2, pair(300, 1), 5, True), (7, pair(300, 1), 5, False), (7, pair(300, 2), 4, True), (7, pair(0, 2), 0, True)]
